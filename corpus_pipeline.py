@@ -1,13 +1,80 @@
-"""Corpus pipeline: stages over `documents`."""
+"""Corpus pipeline over `documents`: toxicity, line dedup, SimHash near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but
+the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.llm.decontaminate import contaminated_words
+from nearfield.llm.line_dedup import remove_boilerplate_lines
+from nearfield.llm.packing import pack
+from nearfield.llm.queries import vocabulary
+from nearfield.llm.shared import shared_dir, staged
+from nearfield.llm.simhash import simhash_groups
+from nearfield.llm.toxicity import fit_toxicity, score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field finds toxic go; it is fitted on the labels of folds 1 to 4."""
+    field = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = staged(score_toxicity(docs, field).where("score >= 0.5").select("doc_id").distinct(), "toxic")
+    return docs.join(toxic, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources share go, except where each is first; n_chars follows the text."""
+    kept = remove_boilerplate_lines(docs.withColumn("had_text", F.col("text").isNotNull()), carried=("lang", "source", "n_chars", "had_text"))
+    changed = F.col("n_removed") > 0
+    return kept.select(
+        "doc_id", F.when(F.col("had_text"), F.col("kept_text")).alias("text"), "lang", "source",
+        F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates over five-word shingles stays: the smallest id."""
+    gone = staged(simhash_groups(docs).where("NOT kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a 10-word window of a benchmark item go."""
+    found = contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = staged(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents left, packed into sequences of at most 2048 tokens."""
+    return pack(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL can't express a fitted field, a tokenizer or column generation.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each one's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    base = f"{shared_dir(spark)}/nearfield/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

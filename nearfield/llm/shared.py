@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
+import pickle
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def sent(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts an object of a class of this package, with the class: see received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(value: Broadcast):
+    return pickle.loads(value.value)
+
+
 def only(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     """The named columns alone, under the operator's own names: other columns can't clash.
 
