@@ -171,7 +171,7 @@ def word_slices(texts: pa.Array, words: Words):
 
     A text much longer than a slice is cut after separators, so memory follows the slice.
     """
-    for first, last, data, ends in slices(texts):
+    for first, last, data, ends in slices(texts, SLICE_BYTES):
         if len(data) <= 2 * SLICE_BYTES:
             yield (first, last, data, *words.hashed(data, ends))
             continue
