@@ -113,17 +113,15 @@ def remove_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col
     document. Rows that repeat an id are judged by their own text; rows equal in id and text get
     equal results. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     source = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")).select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("seq"), F.coalesce("text", F.lit("")).alias("text")
     )
     ids = source.select("doc_id", "seq")
-    canon = ids.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("seq", "first")
+    canon = staged(ids.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("seq", "first"), "copied")
     copies = staged(ids.join(canon, "seq").where("doc_id != first").select("doc_id", "seq").distinct(), "copies")
 
     lengths = _levels(window, base)
     survivors = None
-    starts = None
     for before, length in zip([0, *lengths], lengths, strict=False):
         if survivors is None:
             level = _level(source, window, length, 0)
