@@ -189,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     plan = cutting_stock(sizes, np.array([histogram[s] for s in sizes], np.int64), capacity)
     slots = _slots(sizes, plan, capacity, histogram.get(capacity, 0))
 
-    buckets = int(max(64, min(1 << 16, sum(histogram.values()) // 1024)))
+    buckets = int(max(64, min(1 << 16, sum(histogram.values()) >> 16)))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = staged(
