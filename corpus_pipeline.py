@@ -6,8 +6,6 @@ the last return the columns of `documents`.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from nearfield.llm.decontaminate import contaminated_words
 from nearfield.llm.line_dedup import remove_boilerplate_lines
 from nearfield.llm.packing import pack
 from nearfield.llm.queries import vocabulary
-from nearfield.llm.shared import shared_dir, staged
+from nearfield.llm.shared import stage_path, staged
 from nearfield.llm.simhash import simhash_groups
 from nearfield.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -72,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each one's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/nearfield/pipeline-{uuid.uuid4().hex}"
+    base = stage_path(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 _local_dirs: dict[str, str] = {}
+_stage_paths: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[app]}"
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place for a stage table; what is left of it goes when this Python process ends."""
+    if not _stage_paths:
+        atexit.register(_cleaned)
+    path = f"{shared_dir(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    _stage_paths.add(path)
+    return path
+
+
+def _deleted(jvm, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    _stage_paths.discard(path)
+
+
+def _cleaned() -> None:
+    jvm = SparkContext._jvm
+    for path in sorted(_stage_paths):
+        try:
+            _deleted(jvm, path)
+        except Exception:  # the JVM is gone, and with it the way to a remote store
+            return
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here.
 
     Lost executors then cost a reread at most, and the table's size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nearfield_path = path
@@ -55,11 +80,12 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes stage tables that no later step reads, and lets Spark delete shuffles nobody holds."""
     for table in tables:
-        spark, path = table.sparkSession, getattr(table, "_nearfield_path", None)
+        path = getattr(table, "_nearfield_path", None)
         if path:
-            jvm = spark._jvm
+            jvm = table.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _stage_paths.discard(path)
     released(tables[0].sparkSession)
 
 

@@ -80,7 +80,18 @@ def test_word_hashes_agree_over_slices(monkeypatch):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    assert shared.shared_dir(spark).startswith("file:")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared.shared_dir(spark) == found.rstrip("/") if found else shared.shared_dir(spark).startswith("file:")
+
+
+def test_stage_tables_are_deleted(spark):
+    table = shared.staged(spark.range(3), "some")
+    path = table._nearfield_path
+    assert path in shared._stage_paths and table.count() == 3
+    shared.dropped(table)
+    assert path not in shared._stage_paths
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
 
 
 def test_components(spark):
