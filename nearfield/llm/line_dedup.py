@@ -93,7 +93,8 @@ def remove_boilerplate_lines(
     dropped(lines, shared)
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     kept = F.transform(F.array_except(every, "gone"), lambda i: F.element_at("lines", i + 1))
-    return own.join(gone, ["doc_id", "seq"], "left").select(
+    # both sides are dealt by document at every size: a lucky broadcast on small input would hide what large input costs
+    return own.join(gone.hint("merge"), ["doc_id", "seq"], "left").select(
         F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"),
         F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
