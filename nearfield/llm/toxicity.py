@@ -132,23 +132,28 @@ def _forward_backward(lift, known, bias, transitions):
     return p, np.einsum("tdsr,dt->sr", pair, known[:, 1:].astype(float))
 
 
-def fit_field(texts: list[str], toxic: np.ndarray, prior: float, least_odds: float = 1.5, least_z: float = 3.5, steps: int = 12, rate: float = 0.15) -> Field:
-    """Fits on labelled texts; prior: share of toxic ones where the sample comes from."""
-    tokens = [t.split() for t in texts]
+def fit_field(texts: list[str], toxic: np.ndarray, prior: float, least_odds: float = 1.5, least_z: float = 3.5, least_texts: int = 4, steps: int = 12, rate: float = 0.15) -> Field:
+    """Fits on labelled texts; prior: share of toxic ones where the sample comes from.
+
+    A feature is used if it is in at least least_texts toxic texts, its log odds are at least
+    least_odds, and its rates in the two classes are least_z standard errors apart.
+    """
+    one: dict[str, str] = {}
+    tokens = [[one.setdefault(w, w) for w in t.split()] for t in texts]  # equal tokens are one object
     n = np.array([(~toxic).sum(), toxic.sum()], float)
     constant = np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6)), 0.0, 0.0])
     field = Field({}, -6.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]])), constant)
     if not n.all():
         return field
     seen = (Counter(), Counter())
-    memo: dict[str, list[str]] = {}
-    for own, label in zip(tokens, toxic.tolist(), strict=True):
-        found: set[str] = set()
-        for w in set(own):
-            if w not in memo:
-                memo[w] = features(w)
-            found.update(memo[w])
-        seen[label].update(found)
+    for label in (True, False):
+        for own, is_toxic in zip(tokens, toxic.tolist(), strict=True):
+            if is_toxic == label:
+                found = {f for w in set(own) for f in features(w)}
+                seen[label].update(found if label else found & seen[1].keys())
+        if label:  # only these are counted in the other texts
+            for f in [f for f, k in seen[1].items() if k < least_texts]:
+                del seen[1][f]
     odds = {}
     for f, k in seen[1].items():
         rate0, rate1 = seen[0][f] / n[0], k / n[1]
@@ -161,8 +166,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, prior: float, least_odds: flo
         return field
     names = sorted(odds)
     number = {f: i for i, f in enumerate(names)}
-    known = {w: [number[f] for f in fs if f in number] for w, fs in memo.items()}
-    known = {w: fs for w, fs in known.items() if fs}
+    known = {w: fs for w in one if (fs := [number[f] for f in features(w) if f in number])}
     strong = {w for w, fs in known.items() if max(odds[names[i]] for i in fs) >= least_odds + 0.5}
     order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
     batches, at = [], 0
