@@ -37,6 +37,7 @@ class Knn:
     selectivity: float | None = None
     name: str = "base"
     live: DataFrame | None = None
+    columns: tuple[str, ...] | None = None
 
     def where(self, predicate: Column | str) -> Knn:
         """Adds a conjunct; the whole predicate holds before ranking."""
@@ -82,6 +83,10 @@ class Knn:
         result must still have."""
         return replace(self, router=router or self.router, coded=coded or self.coded, ivf=ivf or self.ivf, live=live if live is not None else self.live, name=name or self.name)
 
+    def returning(self, *columns: str) -> Knn:
+        """The columns of the result; all of the base's by default."""
+        return replace(self, columns=columns)
+
     def estimated(self, selectivity: float) -> Knn:
         """The predicate's selectivity, for routing; unknown counts as 1."""
         return replace(self, selectivity=selectivity)
@@ -121,10 +126,10 @@ class Knn:
         return rows if self.live is None else rows.join(self.live.select(self.id), self.id, "left_semi")
 
     def result(self) -> DataFrame:
-        """Rows of the base in order, with d = distance."""
+        """The result's rows in order, with d = distance."""
         self._checked()
         found = self._run(self.planned())
-        return found.select(*self.base.columns, F.sqrt("d2").alias("d")).orderBy("d", self.id)
+        return found.select(*(self.columns or self.base.columns), F.sqrt("d2").alias("d")).orderBy("d", self.id)
 
     def measured(self) -> tuple[list, float]:
         """Runs, returns rows and milliseconds, and feeds the router."""

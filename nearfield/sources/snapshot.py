@@ -92,7 +92,8 @@ class Snapshot:
         from ..plans.builder import knn
 
         coded = (self.table, self.sq8) if self.sq8 else None
-        return knn(self.table, self.meta["id"]).using(coded=coded, ivf=self.ivf, name=f"{self.root}@{self.version}", **options)
+        columns = (self.meta["id"], self.meta["vector"], *self.scalars)
+        return knn(self.table, self.meta["id"]).returning(*columns).using(coded=coded, ivf=self.ivf, name=f"{self.root}@{self.version}", **options)
 
 
 def choose_columns(df: DataFrame, vector: str | None, id: str) -> tuple[str, list[str]]:
