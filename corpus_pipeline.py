@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.decontaminate import contaminated_words
+from nearfield.llm.jaccard import jaccard_components, with_set_keys
 from nearfield.llm.line_dedup import remove_boilerplate_lines
 from nearfield.llm.packing import pack
 from nearfield.llm.queries import vocabulary
 from nearfield.llm.shared import stage_path, staged
-from nearfield.llm.simhash import simhash_groups
 from nearfield.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,9 +38,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates over five-word shingles stays: the smallest id."""
-    gone = staged(simhash_groups(docs).where("NOT kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays: that of the smallest id, any id before null.
+
+    Near-duplicates have a Jaccard similarity of 0.8 or more over their sets of five-word shingles,
+    exactly: fingerprints of 64 bits that let all such pairs through would let most others through
+    at scale, so candidates come from a prefix filter. A group is all that such links reach. Texts
+    without a word, null ones too, are one group. Repeated rows are near-duplicates of each other.
+    """
+    keyed = staged(with_set_keys(docs.withColumn("row", F.monotonically_increasing_id())), "keyed")
+    linked = jaccard_components(keyed)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    own = keyed.select("row", "doc_id", "set_key").join(linked.withColumnRenamed("node", "set_key"), "set_key", "left")
+    own = staged(own.select("row", "doc_id", F.coalesce("component", "set_key").alias("component")), "grouped")
+    first = own.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.row").alias("kept"))
+    gone = staged(own.join(first, "component").where("row != kept").select("row"), "duplicates")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
