@@ -1,9 +1,12 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass hashes vectors by the signs of random projections, sorts them by the concatenated bits
-and compares each with a bounded number of followers; verified pairs of all passes are united.
-Equal vectors are one vector with a weight from the start. A cluster may hold more vectors than a
-pass compares, so links inside the clusters found are then counted exactly: vectors within half
+"""Embedding near-duplicates by passes of median trees.
+
+Each pass splits the vectors of one dimension by random projections at the medians of a sample,
+node by node, so that dense regions are split as evenly as sparse ones, down to buckets of about
+`bucket` vectors; all pairs of a bucket are compared, and links of all passes are united. How many
+passes a table gets is measured on it: sampled vectors with a partner planted at the threshold's
+cosine are sent down trees until the stated share of pairs has met, over all and in each region.
+A table of one bucket is compared whole. Equal vectors are one vector with a weight from the start.
+Links inside the clusters found are then counted exactly: vectors within half
 the threshold's angle of the cluster's first vector are all linked with one another, by the
 triangle inequality; every other vector is compared with its whole cluster, block by block.
 """
@@ -18,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import dropped, only, staged
+from .shared import dropped, only, received, sent, staged
 from .simhash import spanning
 
 #: Vectors of a cluster that one task compares with as many others at a time.
 BLOCK = 512
+#: Vectors that trees are fitted on, and planted pairs that decide how many there are.
+SAMPLE = 50_000
+PROBES = 4_000
+#: Regions, as levels of the first tree, that each have to reach the recall but for REGION_SLACK.
+REGION_LEVELS = 4
+REGION_SLACK = 0.02
 _PAIRS = "a bigint, b bigint"
 
 
@@ -48,55 +57,128 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return found.select("vec_id", F.length("bytes").alias("dim"), F.xxhash64("bytes").alias("key"), "bytes")
 
 
-def _keys(x: np.ndarray, run: int, bits: int, seed: int) -> np.ndarray:
-    planes = np.random.default_rng([seed, run, x.shape[1]]).standard_normal((x.shape[1], bits))
-    return np.packbits(x @ planes > 0, axis=1).copy().view(">u8")[:, 0].astype(np.uint64) >> np.uint64(1)
+def _planes(p: int, dim: int, depth: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, p, dim]).standard_normal((dim, depth))
+
+
+def _tree(x: np.ndarray, planes: np.ndarray) -> list[np.ndarray]:
+    """The thresholds of each level's nodes: medians of the sample rows x that reach the node."""
+    node, levels = np.zeros(len(x), np.int64), []
+    for level, y in enumerate((x @ planes).T):
+        cut = np.full(1 << level, np.median(y))
+        order = np.lexsort((y, node))
+        edge = np.searchsorted(node[order], np.arange((1 << level) + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            cut[i] = np.median(y[order[edge[i] : edge[i + 1]]])
+        levels.append(cut)
+        node = 2 * node + (y > cut[node])
+    return levels
+
 
+def _bucket(x: np.ndarray, planes: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    for y, cut in zip((x @ planes).T, levels, strict=True):
+        node = 2 * node + (y > cut[node])
+    return node
 
-def projection_links(reps: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
+
+def fitted_trees(x: np.ndarray, rows: int, threshold: float, recall: float, bucket: int, seed: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """(planes, thresholds) of as many trees as let planted pairs meet with the given recall.
+
+    x: sampled unit vectors of a table of `rows` vectors. Each probe is a sampled vector, its
+    partner one at the threshold's cosine in a random direction.
+    """
+    dim = x.shape[1]
+    depth = max(0, math.ceil(math.log2(rows / bucket))) if rows else 0
+    if not depth or dim == 1:
+        planes = _planes(0, dim, 0, seed)
+        return [(planes, [])]
+    rng = np.random.default_rng([seed, dim])
+    q = x[rng.choice(len(x), min(PROBES, len(x)), replace=False)]
+    side = rng.standard_normal(q.shape)
+    side -= np.einsum("ij,ij->i", side, q)[:, None] * q
+    side /= np.sqrt(np.einsum("ij,ij->i", side, side))[:, None]
+    partner = threshold * q + math.sqrt(max(0.0, 1 - threshold**2)) * side
+    trees, met, region = [], np.zeros(len(q), bool), None
+    while True:
+        planes = _planes(len(trees), dim, depth, seed)
+        trees.append((planes, _tree(x, planes)))
+        at = _bucket(q, *trees[-1])
+        region = at >> max(0, depth - REGION_LEVELS) if region is None else region
+        met |= at == _bucket(partner, *trees[-1])
+        if met.mean() >= recall and (np.bincount(region, met) >= (recall - REGION_SLACK) * np.bincount(region)).all():
+            return trees
+
+
+def _forests(reps: DataFrame, threshold: float, recall: float, bucket: int, seed: int) -> dict[int, list]:
+    """Trees of each dimension that has more than one bucket."""
+    counts = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().where(F.col("count") > bucket).collect()}
+    out = {}
+    for dim, n in sorted(counts.items()):
+        own = reps.where(F.col("dim") == dim).select("vec_id", "bytes")
+        every = max(1, n // SAMPLE)
+        sample = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+        out[dim] = fitted_trees(_matrix(sample.column(1).combine_chunks()), n, threshold, recall, bucket, seed)
+    return out
+
+
+def projection_links(reps: DataFrame, threshold: float, recall: float, bucket: int, seed: int) -> DataFrame:
     """Links (a, b) with cosine >= threshold that the passes find, as spanning forests.
 
-    reps: vec_id, dim, bytes; each vector is compared with `window` followers in each pass's order.
+    reps: vec_id, dim, bytes, a stage table; each vector is compared with its whole bucket in each pass.
     """
+    known = sent(reps.sparkSession, _forests(reps, threshold, recall, bucket, seed))
 
     def hashed(batches):
+        forests = received(known)
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
-                rows = pa.array(np.flatnonzero(dims == dim))
-                own = batch.take(rows)
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = _matrix(own.column(2))
-                for p in range(passes):
+                for p, tree in enumerate(forests.get(int(dim), [None])):
+                    at = _bucket(x, *tree) if tree else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), p, np.int32)), own.column(1), pa.array(_keys(x, p, 64, seed).astype(np.int64)), own.column(0), own.column(2)],
-                        ["run", "dim", "key", "vec_id", "bytes"],
+                        [pa.array(np.full(len(x), p, np.int32)), own.column(1), pa.array(at), own.column(0), own.column(2)],
+                        ["run", "dim", "node", "vec_id", "bytes"],
                     )
 
     def compared(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = pa.Table.from_batches([batch.slice(at, 4096)])
-                part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-                run, dim, ids = (part.column(i).to_numpy() for i in (0, 1, 3))
-                left, right = [], []
-                for d in np.unique(dim):
-                    rows = np.flatnonzero(dim == d)
-                    x = _matrix(part.column(4).combine_chunks().take(pa.array(rows)))
-                    for o in range(1, min(window, len(rows) - 1) + 1):
-                        near = np.einsum("ij,ij->i", x[:-o], x[o:]) >= threshold
-                        near &= run[rows[:-o]] == run[rows[o:]]
-                        left.append(rows[:-o][near])
-                        right.append(rows[o:][near])
-                if left:
-                    a, b = spanning(np.concatenate(left), np.concatenate(right), len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
-                held = part.slice(max(0, part.num_rows - window))
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge, edge[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and part.num_rows and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
+                    yield from linked(held)
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield from linked(held)
+
+    def linked(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids, x = table.column(3).to_numpy(), _matrix(table.column(4).combine_chunks())
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(x), BLOCK):
+            for j in range(i, len(x), 8 * BLOCK):
+                a, b = np.nonzero(x[i : i + BLOCK] @ x[j : j + 8 * BLOCK].T >= threshold)
+                a, b = a + i, b + j
+                left.append(a[a < b])
+                right.append(b[a < b])
+            if sum(map(len, left)) > 1 << 22:  # a forest says as much
+                a, b = spanning(np.concatenate(left), np.concatenate(right), len(ids))
+                left, right = [a], [b]
+        a, b = spanning(np.concatenate(left), np.concatenate(right), len(ids))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["run", "dim", "key", "vec_id"]
-    rows = reps.select("vec_id", "dim", "bytes").mapInArrow(hashed, "run int, dim int, key bigint, vec_id bigint, bytes binary")
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compared, _PAIRS)
+    order = ["run", "dim", "node"]
+    rows = reps.select("vec_id", "dim", "bytes").mapInArrow(hashed, "run int, dim int, node bigint, vec_id bigint, bytes binary")
+    return rows.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compared, _PAIRS)
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
@@ -178,13 +260,14 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, passes: int = 16, window: int = 32, seed: int = 7
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.95, bucket: int = 4096, seed: int = 7
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector, by cosine in double precision.
 
     n_links counts other ids linked directly; component_id is the smallest vec_id reachable by
-    links; kept marks it. A link between clusters that no pass puts within `window` places is
-    missed; links inside a cluster found are all counted. Passes add to recall.
+    links; kept marks it. Passes are added until a pair at the threshold is compared with a
+    probability of `recall`, as measured on the table; up to `bucket` vectors of a dimension are
+    compared whole. Links inside a cluster found are all counted.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
     nor do rows with a null id (component null, not kept). Only vectors of equal dimension link.
@@ -197,7 +280,7 @@ def near_duplicate_vectors(
     copies = staged(usable.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight")), "copies")
     reps = usable.join(copies.select("rep", F.col("key").alias("k"), "weight"), (F.col("vec_id") == F.col("rep")) & (F.col("key") == F.col("k")))
     reps = staged(reps.select("vec_id", "dim", "bytes", "weight").dropDuplicates(["vec_id", "dim", "bytes"]), "distinct")
-    linked = staged(connected_components(projection_links(reps, threshold, passes, window, seed)), "linked")
+    linked = staged(connected_components(projection_links(reps, threshold, recall, bucket, seed)), "linked")
     members = reps.join(linked, F.col("vec_id") == F.col("node")).select("component", "vec_id", "dim", "bytes", "weight")
     counted = _counted(members, threshold)
     clusters = linked.select(F.col("node").alias("rep"), "component").join(counted.select(F.col("vec_id").alias("rep"), "n"), "rep")

@@ -389,6 +389,26 @@ def test_vectors(spark):
     assert near_duplicate_vectors(df.where("vec_id = -1")).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.92])
+@pytest.mark.parametrize("n", [4_000, 20_000])
+def test_recall_of_planted_vectors(spark, n, cosine):
+    """Pairs planted among random vectors and inside a cone that holds a third of the rows."""
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, axis = unit(rng.standard_normal((n, 64))), unit(rng.standard_normal((1, 64)))
+    x[: n // 3] = unit(math.sqrt(0.7) * axis + math.sqrt(0.3) * x[: n // 3])
+    at = np.concatenate([np.arange(300), np.arange(n - 300, n)])
+    side = rng.standard_normal((600, 64))
+    side = unit(side - np.einsum("ij,ij->i", side, x[at])[:, None] * x[at])
+    cosine += 1e-6
+    rows = [(i, v) for i, v in enumerate(np.concatenate([x, cosine * x[at] + math.sqrt(1 - cosine**2) * side]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(df, bucket=512).where("n_links > 0").collect()}
+    met = np.array([got.get(n + i, -1) == got.get(int(a), -2) for i, a in enumerate(at)])
+    print("recall in the cone, elsewhere:", n, cosine, met[:300].mean(), met[300:].mean())
+    assert met[:300].mean() >= 0.9 and met[300:].mean() >= 0.9
+
+
 def test_recall_of_the_fixtures_vectors(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
     want = brute.vectors(rows)
