@@ -103,9 +103,16 @@ def ivf_top_k(index: IvfIndex, query: Sequence[float], k: int, probes: int, wher
 def ivf_knn_join(queries: DataFrame, index: IvfIndex, k: int, probes: int, qid: str = "qid", query_vector: str = "qvec", where: Column | str | None = None) -> DataFrame:
     """(qid, rank, id, d2) among each query's probed lists: an equi-join on list_id, then a ranking.
 
-    A long list is split by adaptive execution; ranks are limited before their shuffle.
+    A query whose lists hold fewer than k matching rows doubles its probes, up to all lists; the
+    matching rows of each list are counted first. A long list is split by adaptive execution; ranks
+    are limited before their shuffle.
     """
     centroids, n = index.centroids, max(1, min(probes, index.lists))
+    rows = index.table.where(where) if where is not None else index.table
+    matching = np.zeros(index.lists, np.int64)
+    if n < index.lists:
+        for r in rows.groupBy("list_id").count().collect():
+            matching[r["list_id"]] = r["count"]
 
     def probed(batches):
         for batch in batches:
@@ -113,13 +120,17 @@ def ivf_knn_join(queries: DataFrame, index: IvfIndex, k: int, probes: int, qid:
             if not len(q):
                 continue
             d = ((q[:, None, :] - centroids[None, :, :]) ** 2).sum(2)
-            lists = np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)
-            rows = pa.array(np.repeat(np.arange(len(q)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lists.ravel())], ["qid", "qvec", "list_id"])
+            order = np.argsort(d, axis=1, kind="stable").astype(np.int32)
+            held = np.cumsum(matching[order], axis=1)
+            asked = np.full(len(q), n)
+            while (short := (asked < len(centroids)) & (held[np.arange(len(q)), asked - 1] < k)).any():
+                asked[short] = np.minimum(len(centroids), 2 * asked[short])
+            lists = order[np.arange(len(centroids)) < asked[:, None]]
+            at = pa.array(np.repeat(np.arange(len(q)), asked))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists)], ["qid", "qvec", "list_id"])
 
     asked = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(query_vector).cast("array<double>").alias("qvec"))
     asked = asked.mapInArrow(probed, "qid bigint, qvec array<double>, list_id int")
-    rows = index.table.where(where) if where is not None else index.table
     rows = rows.select(F.col(index.id).cast("bigint").alias("id"), F.col(index.vector).alias("v"), "list_id")
     found = asked.join(rows, "list_id").select("qid", "id", l2_squared(F.col("v"), F.col("qvec")).alias("d2"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id")).cast("bigint")

@@ -169,6 +169,21 @@ def test_ivf_invariants(spark):
     assert rows.count() == 0 and read == index.lists
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_registered_ivf_reaches_its_recall(spark, sf):
+    want = {(r["qid"], r["vec_id"]) for r in core.queries()["knn_ivf_exhaustive"](spark, sf).collect()}
+    got = {(r["qid"], r["vec_id"]) for r in core.queries()["knn_ivf"](spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
+def test_short_ivf_results_widen(spark):
+    index = build_ivf(items(spark, SF))
+    asked = held_out(spark, 12)
+    rows = ivf_knn_join(asked, index, 10, 1, where=core.CLASSES["Logic"]).groupBy("qid").count().collect()
+    assert len(rows) == 12 and {r["count"] for r in rows} == {10}
+    assert ivf_knn_join(asked, index, 10, 1, where="int_attr = 99").count() == 0
+
+
 def test_calibration_freezes_an_eligible_knob(spark):
     base, asked = items(spark, SF), held_out(spark, 24)
     index = build_ivf(base)
