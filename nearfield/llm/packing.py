@@ -11,6 +11,7 @@ counts, and the patterns' slots are dealt to the documents ranked within each le
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -62,18 +63,16 @@ def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tupl
     return plan
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, most_columns: int = 300) -> list[tuple[np.ndarray, int]]:
-    """Patterns (counts of each size, how often used) that meet the demand exactly.
+def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, their use, inverse): a basis that covers the demand, each pattern using up a size.
 
-    The linear program (fewest sequences that cover the demand) starts from greedy
-    patterns, each of which uses up a size, so that they make a basis. Prices are smoothed towards those of the best bound so far. Columns enter until the value
-    is within a factor 1 + gap of a lower bound: total length over capacity, or the prices' own.
+    A pattern holds only sizes not used up before, so with sizes in the order in which they end the
+    basis is triangular, and its inverse comes by substitution. That is plain NumPy on purpose: a
+    threaded LAPACK inversion was seen to wait for ever in a process that runs Spark's driver.
     """
     n = len(sizes)
-    if not n:
-        return []
-    columns, used, rest, open_ = np.diag(capacity // sizes).astype(float), np.zeros(n), demand.astype(float), np.ones(n, bool)
-    by_size = np.argsort(-sizes, kind="stable").tolist()
+    columns, used, rest, open_ = np.zeros((n, n)), np.zeros(n), demand.astype(float), np.ones(n, bool)
+    by_size, ends = np.argsort(-sizes, kind="stable").tolist(), []
     while open_.any():
         pattern, room = np.zeros(n), capacity
         for i in by_size:
@@ -81,17 +80,47 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
                 pattern[i] = room // int(sizes[i])
                 room -= int(pattern[i] * sizes[i])
         some = np.flatnonzero(pattern)
-        ended = some[(rest[some] / pattern[some]).argmin()]
+        ended = int(some[(rest[some] / pattern[some]).argmin()])
         columns[:, ended], used[ended] = pattern, rest[ended] / pattern[ended]
         rest = np.maximum(rest - used[ended] * pattern, 0)
         open_[ended] = False
+        ends.append(ended)
+    low, solved = columns[np.ix_(ends, ends)], np.eye(n)
+    for i in range(n):
+        solved[i] -= np.einsum("j,jk->k", low[i, :i], solved[:i])
+        solved[i] /= low[i, i]
+    inverse = np.empty((n, n))
+    inverse[np.ix_(ends, ends)] = solved
+    return columns, used, inverse
+
+
+@dataclass
+class Plan:
+    """patterns: (counts of each size, how often used); bound: no plan has fewer sequences; gap: the program's, relative."""
+
+    patterns: list[tuple[np.ndarray, int]]
+    bound: float
+    gap: float
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> Plan:
+    """Patterns that meet the demand exactly.
+
+    The linear program (fewest sequences that cover the demand) starts from greedy patterns. Prices
+    are smoothed towards those of the best bound so far. Columns enter until the value is within a
+    factor 1 + gap of a lower bound (total length over capacity, or the prices' own), within one
+    sequence of it, or no column is worth more than it costs, which proves the optimum.
+    """
+    n = len(sizes)
+    if not n:
+        return Plan([], 0.0, 0.0)
+    columns, used, inverse = _greedy_basis(sizes, demand, capacity)
     cost = np.ones(n)
-    inverse = np.linalg.inv(columns)
     bound, center = float(sizes @ demand) / capacity, sizes / capacity
-    for _ in range(most_columns):
+    while True:
         price = cost @ inverse
         value = float(cost @ used)
-        if value <= bound * (1 + gap):
+        if value <= max(bound * (1 + gap), bound + 1):
             break
         low = int(price.argmin())
         if price[low] < -1e-9:  # covering more than is asked for costs nothing
@@ -130,7 +159,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         if times:
             plan.append((counts[:, j].copy(), times))
             left -= counts[:, j] * times
-    return plan + first_fit(sizes, left, capacity)
+    return Plan(plan + first_fit(sizes, left, capacity), bound, max(0.0, value / bound - 1))
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int | None, keep_ids: bool) -> DataFrame:
@@ -163,8 +192,6 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
-
-
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int | None = 1, unit: int = 4, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most `length` tokens.
 
@@ -176,26 +203,28 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     unit: tokens by which lengths are told apart; a piece wastes less than that.
 
-    Null texts are empty. Null ids stay null; repeated rows are packed again. An empty table gives
+    Null texts are empty. Null ids stay null; repeated rows are packed again: pieces are numbered
+    when they are written, so equal ones have a fixed order and share no rank. An empty table gives
     an empty one.
     """
     source = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"))
-    pieces = staged(tokenized_pieces(source, vocabulary, length, end_id, keep_ids), "pieces")
+    cut = tokenized_pieces(source, vocabulary, length, end_id, keep_ids)
+    pieces = staged(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     capacity = length // unit
     size = F.least(F.ceil(F.col("length") / unit), F.lit(capacity)).cast("int")
     pieces = pieces.withColumn("size", size)
     histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most `capacity` rows
     sizes = np.array(sorted(s for s in histogram if s < capacity), np.int64)
     plan = cutting_stock(sizes, np.array([histogram[s] for s in sizes], np.int64), capacity)
-    slots = _slots(sizes, plan, capacity, histogram.get(capacity, 0))
+    slots = _slots(sizes, plan.patterns, capacity, histogram.get(capacity, 0))
 
     buckets = int(max(64, min(1 << 16, sum(histogram.values()) >> 16)))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = staged(
         pieces.groupBy("size", "bucket").count().select("size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")), "ranks"
     )
-    within = Window.partitionBy("size", "bucket").orderBy("doc_id", "start")
+    within = Window.partitionBy("size", "bucket").orderBy("piece")
     ranked = pieces.withColumn("row", F.row_number().over(within) - 1).join(base, ["size", "bucket"]).withColumn("rank", F.col("base") + F.col("row"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 

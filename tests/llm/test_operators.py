@@ -190,16 +190,30 @@ def test_cutting_stock_meets_demand():
     for n, capacity, most in ((1, 10, 5), (7, 20, 30), (60, 128, 9), (100, 512, 400)):
         sizes = np.sort(rng.choice(np.arange(1, capacity), min(n, capacity - 1), replace=False))
         demand = rng.integers(1, most, len(sizes))
-        plan = cutting_stock(sizes, demand, capacity)
+        plan = cutting_stock(sizes, demand, capacity).patterns
         assert sum(p * t for p, t in plan).tolist() == demand.tolist()
         assert all(p @ sizes <= capacity and t > 0 for p, t in plan)
-    assert cutting_stock(np.zeros(0, np.int64), np.zeros(0, np.int64), 8) == []
+    assert cutting_stock(np.zeros(0, np.int64), np.zeros(0, np.int64), 8).patterns == []
     # thirds: first fit decreasing would pair the halves badly, the program finds the whole patterns
-    plan = cutting_stock(np.array([3, 5, 7]), np.array([900, 900, 900]), 15)
+    plan = cutting_stock(np.array([3, 5, 7]), np.array([900, 900, 900]), 15).patterns
     assert sum(t for _, t in plan) == 900
     demand = rng.integers(500, 900, 60)
     sizes = np.arange(20, 80)
-    assert sum(t for _, t in cutting_stock(sizes, demand, 128)) <= 1.03 * math.ceil(sizes @ demand / 128) + 60
+    plan = cutting_stock(sizes, demand, 128)
+    assert sum(t for _, t in plan.patterns) <= plan.bound * (1 + plan.gap) + 60
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_the_first_basis_beside_a_running_spark(spark, n):
+    """Wide bases, where a threaded inversion hung once Spark had started."""
+    assert spark.range(3).count() == 3
+    rng = np.random.default_rng(n)
+    sizes, demand = np.sort(rng.choice(np.arange(1, 512), n, replace=False)), rng.integers(1, 10**6, n)
+    columns, used, inverse = packing._greedy_basis(sizes, demand, 512)
+    assert np.allclose(np.einsum("ij,jk->ik", columns, inverse), np.eye(n))
+    assert np.allclose(columns @ used, demand) and (sizes @ columns <= 512).all()
+    plan = cutting_stock(sizes, demand, 512)
+    assert plan.gap <= 2e-4 and sum(p * t for p, t in plan.patterns).tolist() == demand.tolist()
 
 
 def test_columns_enter_where_the_start_is_poor(monkeypatch):
@@ -207,7 +221,7 @@ def test_columns_enter_where_the_start_is_poor(monkeypatch):
     real = packing.best_pattern
     monkeypatch.setattr(packing, "best_pattern", lambda *a: calls.append(1) or real(*a))
     sizes, demand = np.array([34, 35, 51, 66]), np.array([400, 300, 500, 200])
-    plan = cutting_stock(sizes, demand, 100)
+    plan = cutting_stock(sizes, demand, 100).patterns
     assert calls and sum(p * t for p, t in plan).tolist() == demand.tolist()
 
 
@@ -226,6 +240,8 @@ def test_packing_keeps_ids_and_empty_tables(spark):
     rows = pack(frame(spark, [(1, "a b"), (1, "a b"), (None, None)]), queries.vocabulary(), keep_ids=True).collect()
     assert len(rows) == 3 and len({r["sequence_id"] for r in rows}) == 1
     assert sorted(np.frombuffer(r["ids"], "<u4").tolist()[-1] for r in rows) == [1, 1, 1]
+    rows = pack(frame(spark, [(None, f"a {i % 7}") for i in range(60)] + [(1, "b b")] * 60), queries.vocabulary(), length=64, unit=1).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 120
     assert pack(frame(spark, []), queries.vocabulary()).count() == 0
     assert pack(frame(spark, [(1, "")]), queries.vocabulary(), end_id=None).count() == 0
 
