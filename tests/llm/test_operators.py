@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearfield.llm import html_text, packing, queries, shared, simhash, substring_dedup, toxicity
+from nearfield.llm import embedding_dedup, html_text, packing, queries, shared, simhash, substring_dedup, toxicity
 from nearfield.llm.components import connected_components
 from nearfield.llm.decontaminate import contaminated_words
 from nearfield.llm.embedding_dedup import near_duplicate_vectors
@@ -406,9 +406,9 @@ def test_vectors(spark):
 
 
 @pytest.mark.parametrize("cosine", [0.9, 0.92])
-@pytest.mark.parametrize("n", [4_000, 20_000])
-def test_recall_of_planted_vectors(spark, n, cosine):
-    """Pairs planted among random vectors and inside a cone that holds a third of the rows."""
+@pytest.mark.parametrize("n,window", [(4_000, 128), (20_000, 128), (80_000, 512)])
+def test_recall_of_planted_vectors(spark, n, window, cosine):
+    """Pairs planted among random vectors and inside a cone that holds a third of the rows; windows are of 1/30 to 1/160 of the table."""
     rng = np.random.default_rng(n)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     x, axis = unit(rng.standard_normal((n, 64))), unit(rng.standard_normal((1, 64)))
@@ -419,12 +419,52 @@ def test_recall_of_planted_vectors(spark, n, cosine):
     cosine += 1e-6
     rows = [(i, v) for i, v in enumerate(np.concatenate([x, cosine * x[at] + math.sqrt(1 - cosine**2) * side]).tolist())]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(df, bucket=512).where("n_links > 0").collect()}
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(df, window=window).where("n_links > 0").collect()}
     met = np.array([got.get(n + i, -1) == got.get(int(a), -2) for i, a in enumerate(at)])
     print("recall in the cone, elsewhere:", n, cosine, met[:300].mean(), met[300:].mean())
     assert met[:300].mean() >= 0.9 and met[300:].mean() >= 0.9
 
 
+@pytest.mark.parametrize("block,chunk,window", [(16, 64, 2048), (16, 4096, 40), (512, 4096, 40)])
+def test_vectors_in_large_clusters(spark, monkeypatch, block, chunk, window):
+    """A chain, a dense group and loose ones, larger than the blocks and windows, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    turn = np.linspace(0, 2.5, 300)
+    chain = np.stack([np.cos(turn), np.sin(turn), *np.zeros((6, 300))], axis=1) + 0.01 * rng.standard_normal((300, 8))
+    dense = rng.standard_normal(8) + 0.02 * rng.standard_normal((400, 8))
+    rows = list(enumerate(np.concatenate([chain, dense, rng.standard_normal((300, 8))])[rng.permutation(1000)].tolist()))
+    want = brute.vectors(rows)
+    assert max(n for n, _ in want.values()) >= 399
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, window=window).collect()}
+    if window > 1000:
+        assert got == want
+    else:
+        assert all(got[i][0] <= want[i][0] for i in want) and sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+
+
+def test_vectors_of_one_dimension_and_mixed_precision(spark):
+    rows = [(i, [float(i - 40)]) for i in range(80)] + [(100, [0.1, 0.2]), (101, [np.float32(0.1).item(), np.float32(0.2).item()]), (102, [1e100, 2e100]), (103, [-0.0, 1.0]), (104, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, window=8).collect()}
+    assert got == brute.vectors(rows)
+
+
+def test_links_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3000, 6))
+    df = spark.createDataFrame(list(enumerate(base.tolist())), "vec_id bigint, embedding array<double>")
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        seen.append(sorted(map(tuple, near_duplicate_vectors(df.repartition(int(parts)), window=64).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 def test_recall_of_the_fixtures_vectors(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
     want = brute.vectors(rows)
