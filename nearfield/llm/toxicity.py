@@ -2,10 +2,13 @@
 
 Labels are of documents, so tokens are labelled by distant supervision: a token of a toxic
 document is toxic if one of its features (its word, its beginnings) occurs in far more toxic than
-other documents, beyond chance. The field has two states, feature weights, a bias and transitions,
-and is fitted by gradient steps on the labelled tokens of a bounded sample. Inference is exact:
-tokens without known features all have the same potential, so the chain over a run of them is a
-power of one 2x2 matrix, and forward-backward visits the other tokens only.
+other documents, beyond chance. The field has two states, feature weights, a bias and transitions.
+
+Tokens without known features all have the same potential, so the chain over a run of them is a
+power of one 2x2 matrix. Chains therefore consist of the known tokens alone, whatever a text's
+length, and forward-backward runs over them as prefix and suffix products by doubling. Executors
+count features and cut the labelled texts into such chains; the driver maximises the conditional
+likelihood of the chains' labels by L-BFGS until the gradient is small.
 
 A document's score is a logistic function of its tokens' marginals (the largest, and their sum);
 its offending spans are the tokens of marginal 0.5 or more.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, only, received, sent, slices
+from .shared import SLICE_BYTES, dropped, only, received, sent, slices, staged
 
 #: Tokens whose weight a worker keeps.
 CACHED_TOKENS = 200_000
@@ -37,6 +40,107 @@ def features(token: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in _BEGINNINGS if len(word) > k)] if word else []
 
 
+@dataclass
+class Chains:
+    """Known tokens of texts, one text after the other: their places; known tokens and tokens of each text."""
+
+    at: np.ndarray
+    counts: np.ndarray
+    length: np.ndarray
+
+    def __post_init__(self):
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.base = np.cumsum(self.counts) - self.counts
+        self.nth = np.arange(len(self.at)) - self.base[self.text]
+        self.first, self.last = self.nth == 0, self.nth == self.counts[self.text] - 1
+        self.some = self.counts > 0
+        #: Unknown tokens before each known one, but for the text's first token; after each text's last.
+        self.gap = self.at - np.where(self.first, 1, np.concatenate([[0], self.at[:-1] + 1]))
+        self.tail = self.length - 1
+        self.tail[self.some] -= self.at[self.last]
+
+
+def _products(m: np.ndarray, nth: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products of 2x2 matrices from their text's first up to each, by doubling; and their log scales."""
+    m, scale, step = m.copy(), np.zeros(len(m)), 1
+    while step < least:
+        on = np.flatnonzero(nth >= step)
+        both = m[on - step] @ m[on]
+        size = both.max((1, 2))
+        scale[on] = scale[on - step] + scale[on] + np.log(size)
+        m[on] = both / size[:, None, None]
+        step *= 2
+    return m, scale
+
+
+def chain_sums(bias: float, transitions: np.ndarray, lift: np.ndarray, chains: Chains) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """Marginals of state 1 at the known tokens; log partition; expected tokens in state 1; expected transitions.
+
+    lift: what a known token's features add to the bias. The sums are over all texts and all their tokens.
+    """
+    a = np.exp(transitions)
+    own = np.array([1.0, np.exp(bias)])
+    g = a * own
+    trace, root = g[0, 0] + g[1, 1], np.sqrt((g[0, 0] - g[1, 1]) ** 2 + 4 * g[0, 1] * g[1, 0])
+    high, low = (trace + root) / 2, (trace - root) / 2
+    p1, p2, q = (g - low * np.eye(2)) / root, (high * np.eye(2) - g) / root, low / high
+
+    def power(k):  # of g, over that of its larger eigenvalue
+        return p1 + np.power(q, np.maximum(k, 0))[:, None, None] * p2
+
+    c = chains
+    factor = np.stack([np.ones_like(lift), np.exp(np.clip(bias + lift, -50, 50))], axis=1)
+    start = np.where(c.first & (c.at == 0), True, False)
+    into = power(c.gap) @ a
+    into[c.first] = (own @ into[c.first])[:, None, :]  # both rows: what the first known token meets
+    into[start] = 1.0
+    most = int(c.counts.max(initial=0))
+    forward, log_forward = _products(into * factor[:, None, :], c.nth, most)
+    forward = forward[:, 0]
+    # suffix products: the same over reversed and transposed matrices
+    back, _ = _products((into * factor[:, None, :])[::-1].transpose(0, 2, 1), (c.counts[c.text] - 1 - c.nth)[::-1], most)
+    ends = power(c.tail) @ np.ones(2)
+    backward = np.empty((len(lift), 2))
+    inner = np.flatnonzero(~c.last)
+    suffix = back[::-1].transpose(0, 2, 1)
+    backward[inner] = np.einsum("nij,nj->ni", suffix[inner + 1], ends[c.text[inner]])
+    backward[c.last] = ends[c.some]
+    backward /= np.maximum(backward.sum(1, keepdims=True), 1e-300)
+    both = forward * backward
+    p = both[:, 1] / np.maximum(both.sum(1), 1e-300)
+
+    alone = ~c.some & (c.length > 0)
+    z = np.einsum("ni,ni->n", forward[c.last], ends[c.some])
+    log_z = float(np.log(z).sum() + log_forward[c.last].sum() + np.log(ends[alone] @ own).sum())
+    log_z += np.log(high) * float(np.maximum(c.gap, 0).sum() + np.maximum(c.tail[c.some | alone], 0).sum())
+
+    # a run of unknown tokens: what comes from its left, its number of steps, what comes from its right
+    begin = np.empty((len(lift), 2))
+    begin[~c.first] = forward[np.flatnonzero(~c.first) - 1]
+    begin[c.first] = own
+    ahead = factor * backward
+    after = ahead @ a.T
+    left = np.concatenate([begin[~start], forward[c.last], np.broadcast_to(own, (int(alone.sum()), 2))])
+    right = np.concatenate([after[~start], np.ones((int(c.some.sum() + alone.sum()), 2))])
+    k = np.concatenate([c.gap[~start], c.tail[c.some], c.tail[alone]]).astype(float)
+    qk = np.power(q, k)
+    l1, l2, r1, r2 = left @ p1, left @ p2, right @ p1.T, right @ p2.T
+    total = np.einsum("ni,ni->n", l1 + qk[:, None] * l2, right)
+    mixed = (1 - qk) / (1 - q)
+    same2 = np.where(k > 0, k * np.power(q, np.maximum(k - 1, 0)), 0.0)
+    inside = sum(np.einsum("n,ns,nr->sr", w / total, x, y) for w, x, y in ((k, l1, r1), (same2, l2, r2), (mixed, l1, r2), (mixed, l2, r1)))
+    steps = g / high * inside
+    ones = float(p.sum()) + steps[:, 1].sum()
+    first = np.concatenate([c.first[~start], np.zeros(int(c.some.sum()), bool), np.ones(int(alone.sum()), bool)])  # runs that hold token 0
+    reached = own * (r1[first] + qk[first, None] * r2[first])
+    ones += float((reached[:, 1] / reached.sum(1)).sum())
+    meet = ~start
+    come = l1[: int(meet.sum())] + qk[: int(meet.sum()), None] * l2[: int(meet.sum())]
+    pair = come[:, :, None] * a * ahead[meet][:, None, :]
+    steps = steps + (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    return p, log_z, ones, steps
+
+
 @dataclass
 class Field:
     """weights of features; bias of state 1; log transitions; logistic weights (constant, max, log1p sum)."""
@@ -50,200 +154,108 @@ class Field:
         """0 if no feature is known."""
         return sum(self.weights.get(f, 0.0) for f in features(token))
 
-    def marginals(self, at: list[np.ndarray], weight: list[np.ndarray], length: np.ndarray) -> list[np.ndarray]:
-        """Probability of state 1 at the known tokens `at` of each document of `length` tokens."""
-        docs, most = len(at), max((len(x) for x in at), default=0)
-        out = [np.zeros(len(x)) for x in at]
-        if not most:
-            return out
-        a = np.exp(self.transitions)
-        bias = np.array([1.0, np.exp(self.bias)])
-        g = a * bias
-        trace, root = g[0, 0] + g[1, 1], np.sqrt((g[0, 0] - g[1, 1]) ** 2 + 4 * g[0, 1] * g[1, 0])
-        high, low = (trace + root) / 2, (trace - root) / 2
-        p1, p2 = (g - low * np.eye(2)) / root, (high * np.eye(2) - g) / root
-
-        def power(k):  # of g, over that of its larger eigenvalue
-            return p1 + (low / high) ** k[:, None, None] * p2
-
-        counts = np.array([len(x) for x in at])
-        place, lift = np.zeros((docs, most), np.int64), np.zeros((docs, most))
-        for d in range(docs):
-            place[d, : counts[d]], lift[d, : counts[d]] = at[d], weight[d]
-        factor = np.stack([np.ones_like(lift), np.exp(np.clip(self.bias + lift, -50, 50))], axis=2)
-        forward = np.zeros((docs, most, 2))
-        backward = np.ones((docs, most, 2))
-        for j in range(most):
-            on = np.flatnonzero(counts > j)
-            if j:
-                gap = place[on, j] - place[on, j - 1] - 1
-                v = np.einsum("ds,dst->dt", forward[on, j - 1], power(gap)) @ a
-            else:
-                gap = place[on, 0]
-                v = np.einsum("ds,dst->dt", np.broadcast_to(bias, (len(on), 2)), power(np.maximum(gap - 1, 0))) @ a
-                v[gap == 0] = 1.0
-            v = v * factor[on, j]
-            forward[on, j] = v / v.sum(1, keepdims=True)
-        for j in range(most - 1, -1, -1):
-            on = np.flatnonzero(counts > j)
-            last = counts[on] == j + 1
-            v = np.ones((len(on), 2))
-            gap = length[on] - place[on, j] - 1
-            v[last] = power(gap[last]) @ np.ones(2)
-            more = on[~last]
-            if len(more):
-                gap = place[more, j + 1] - place[more, j] - 1
-                v[~last] = np.einsum("dst,dt->ds", power(gap), (factor[more, j + 1] * backward[more, j + 1]) @ a.T)
-            backward[on, j] = v / v.sum(1, keepdims=True)
-        both = forward * backward
-        p = both[..., 1] / np.maximum(both.sum(2), 1e-300)
-        for d in range(docs):
-            out[d] = p[d, : counts[d]]
-        return out
-
-    def score(self, marginals: list[np.ndarray]) -> np.ndarray:
-        x = aggregated(marginals)
-        return 1 / (1 + np.exp(-np.clip(x @ self.logistic, -30, 30)))
-
-
-def aggregated(marginals: list[np.ndarray]) -> np.ndarray:
-    return np.array([[1.0, m.max() if len(m) else 0.0, np.log1p(m.sum())] for m in marginals]).reshape(-1, 3)
-
-
-def _forward_backward(lift, known, bias, transitions):
-    """Expected feature, state and transition counts of padded chains (docs x steps)."""
-    docs, steps = lift.shape
-    a = np.exp(transitions)
-    factor = np.stack([np.ones_like(lift), np.exp(bias + lift)], axis=2)
-    forward, backward = np.empty((steps, docs, 2)), np.empty((steps, docs, 2))
-    v = factor[:, 0]
-    forward[0] = v / v.sum(1, keepdims=True)
-    for t in range(1, steps):
-        v = np.where(known[:, t, None], (forward[t - 1] @ a) * factor[:, t], forward[t - 1])
-        forward[t] = v / v.sum(1, keepdims=True)
-    backward[-1] = 0.5
-    for t in range(steps - 2, -1, -1):
-        v = np.where(known[:, t + 1, None], (factor[:, t + 1] * backward[t + 1]) @ a.T, backward[t + 1])
-        backward[t] = v / v.sum(1, keepdims=True)
-    both = forward * backward
-    p = (both[..., 1] / both.sum(2)).T
-    pair = np.einsum("tds,tdr,sr->tdsr", forward[:-1], factor.transpose(1, 0, 2)[1:] * backward[1:], a)
-    pair /= pair.sum((2, 3), keepdims=True)
-    return p, np.einsum("tdsr,dt->sr", pair, known[:, 1:].astype(float))
+    def marginals(self, lift: np.ndarray, chains: Chains) -> np.ndarray:
+        """Probability of state 1 at the known tokens."""
+        return chain_sums(self.bias, self.transitions, lift, chains)[0]
 
+    def score(self, marginals: np.ndarray, chains: Chains) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(aggregated(marginals, chains) @ self.logistic, -30, 30)))
 
-def fit_field(texts: list[str], toxic: np.ndarray, prior: float, least_odds: float = 1.5, least_z: float = 3.5, least_texts: int = 4, steps: int = 12, rate: float = 0.15) -> Field:
-    """Fits on labelled texts; prior: share of toxic ones where the sample comes from.
 
-    A feature is used if it is in at least least_texts toxic texts, its log odds are at least
-    least_odds, and its rates in the two classes are least_z standard errors apart.
+def aggregated(marginals: np.ndarray, chains: Chains) -> np.ndarray:
+    most = np.zeros(len(chains.counts))
+    np.maximum.at(most, chains.text, marginals)
+    return np.stack([np.ones(len(most)), most, np.log1p(np.bincount(chains.text, marginals, minlength=len(most)))], axis=1)
+
+
+@dataclass
+class Labelled:
+    """Chains with each known token's features (row: known token, feature) and label."""
+
+    chains: Chains
+    token: np.ndarray
+    feature: np.ndarray
+    gold: np.ndarray
+    n_features: int
+
+    def gold_transitions(self) -> np.ndarray:
+        c, on = self.chains, self.gold == 1
+        after = np.zeros(len(on), bool)  # the token before is known and of state 1
+        after[1:] = on[:-1] & ~c.first[1:] & (c.at[1:] == c.at[:-1] + 1)
+        n11 = int((on & after).sum())
+        n01 = int((on & ~after & (c.at > 0)).sum())
+        n10 = int((on & (c.at < c.length[c.text] - 1)).sum()) - n11
+        return np.array([[np.maximum(c.length - 1, 0).sum() - n11 - n01 - n10, n01], [n10, n11]], float)
+
+
+def likelihood(parameters: np.ndarray, data: Labelled, ridge: float = 0.1) -> tuple[float, np.ndarray]:
+    """Penalised conditional log likelihood of the labels, and its gradient.
+
+    parameters: feature weights, bias, the four transitions (from 0 to 0, 0 to 1, 1 to 0, 1 to 1).
     """
-    one: dict[str, str] = {}
-    tokens = [[one.setdefault(w, w) for w in t.split()] for t in texts]  # equal tokens are one object
-    n = np.array([(~toxic).sum(), toxic.sum()], float)
-    constant = np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6)), 0.0, 0.0])
-    field = Field({}, -6.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]])), constant)
-    if not n.all():
-        return field
-    seen = (Counter(), Counter())
-    for label in (True, False):
-        for own, is_toxic in zip(tokens, toxic.tolist(), strict=True):
-            if is_toxic == label:
-                found = {f for w in set(own) for f in features(w)}
-                seen[label].update(found if label else found & seen[1].keys())
-        if label:  # only these are counted in the other texts
-            for f in [f for f, k in seen[1].items() if k < least_texts]:
-                del seen[1][f]
-    odds = {}
-    for f, k in seen[1].items():
-        rate0, rate1 = seen[0][f] / n[0], k / n[1]
-        pooled = (seen[0][f] + k) / n.sum()
-        z = (rate1 - rate0) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n[0] + 1 / n[1]))
-        o = np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1))
-        if o >= least_odds and z >= least_z:
-            odds[f] = o
-    if not odds:
+    k = data.n_features
+    weights, bias, transitions = parameters[:k], parameters[k], parameters[k + 1 :].reshape(2, 2)
+    lift = np.bincount(data.token, weights[data.feature], minlength=len(data.gold))
+    p, log_z, ones, steps = chain_sums(bias, transitions, lift, data.chains)
+    real = data.gold_transitions()
+    value = float(data.gold @ (lift + bias) + (real * transitions).sum() - log_z)
+    gradient = np.concatenate([
+        np.bincount(data.feature, (data.gold - p)[data.token], minlength=k), [data.gold.sum() - ones], (real - steps).ravel()
+    ])
+    return value - ridge / 2 * float(parameters @ parameters), gradient - ridge * parameters
+
+
+def maximum(value_and_gradient, x: np.ndarray, small: float, most_steps: int = 500, memory: int = 10) -> np.ndarray:
+    """A maximum of a smooth concave function by L-BFGS: no component of the gradient is over `small`."""
+    value, gradient = value_and_gradient(x)
+    past: deque = deque(maxlen=memory)
+    for _ in range(most_steps):
+        if np.abs(gradient).max() <= small:
+            return x
+        way, used = gradient.copy(), []
+        for s, y, r in reversed(past):
+            used.append(r * (s @ way))
+            way -= used[-1] * y
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.abs(gradient).max()
+        for (s, y, r), u in zip(past, reversed(used), strict=True):
+            way += s * (u - r * (y @ way))
+        rise, size = float(gradient @ way), 1.0
+        while True:
+            new, new_gradient = value_and_gradient(x + size * way)
+            if np.isfinite(new) and new >= value + 1e-4 * size * rise:
+                break
+            size /= 2
+            if size < 1e-12:  # no rise that numbers can tell
+                return x
+        s, y = size * way, gradient - new_gradient
+        if s @ y > 1e-12 * (y @ y):
+            past.append((s, y, 1 / (s @ y)))
+        x, value, gradient = x + s, new, new_gradient
+    raise RuntimeError(f"the field's fit did not settle in {most_steps} steps")
+
+
+def fit_field(names: list[str], data: Labelled, toxic: np.ndarray, prior: float) -> Field:
+    """Fits weights of the named features; toxic: labels of the texts; prior: share of toxic ones where they come from."""
+    field = Field({}, -6.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]])), _constant(prior))
+    k, tokens = len(names), int(data.chains.length.sum())
+    if not k or not tokens:
         return field
-    names = sorted(odds)
-    number = {f: i for i, f in enumerate(names)}
-    known = {w: fs for w in one if (fs := [number[f] for f in features(w) if f in number])}
-    strong = {w for w, fs in known.items() if max(odds[names[i]] for i in fs) >= least_odds + 0.5}
-    order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
-    batches, at = [], 0
-    order = [i for i in order if tokens[i]]
-    while at < len(order):
-        to = at + 1
-        while to < len(order) and (to + 1 - at) * len(tokens[order[to]]) <= 200_000:
-            to += 1
-        rows = order[at:to]
-        width = len(tokens[rows[-1]])
-        mask = np.arange(width) < np.array([len(tokens[i]) for i in rows])[:, None]
-        where = [(d, t, f) for d, i in enumerate(rows) for t, w in enumerate(tokens[i]) if w in known for f in known[w]]
-        where = np.array(where, np.int64).reshape(-1, 3)
-        gold = np.zeros((len(rows), width), np.int64)
-        for d, i in enumerate(rows):
-            if toxic[i]:
-                for t, w in enumerate(tokens[i]):
-                    gold[d, t] = w in strong
-        batches.append((mask, where, gold))
-        at = to
-    total = sum(int(m.sum()) for m, _, _ in batches)
-    ones = sum(int(g.sum()) for _, _, g in batches)
-    weights = np.full(len(names), 2.0)
-    bias = float(np.log((ones + 1) / (total - ones + 1)))
-    pairs = np.ones((2, 2))
-    for mask, _, gold in batches:
-        on = mask[:, 1:]
-        for s in (0, 1):
-            for r in (0, 1):
-                pairs[s, r] += ((gold[:, :-1] == s) & (gold[:, 1:] == r) & on).sum()
-    transitions = 0.5 * np.log(pairs * pairs.sum() / np.outer(pairs.sum(1), pairs.sum(0)))
-    parameters = np.concatenate([weights, [bias], transitions.ravel()])
-    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
-    for step in range(1, steps + 1):
-        gradient = np.zeros_like(parameters)
-        k = len(names)
-        weights, bias, transitions = parameters[:k], parameters[k], parameters[k + 1 :].reshape(2, 2)
-        for mask, where, gold in batches:
-            lift = np.zeros(mask.shape)
-            np.add.at(lift, (where[:, 0], where[:, 1]), weights[where[:, 2]])
-            p, expected = _forward_backward(lift, mask, bias, transitions)
-            off = np.where(mask, gold - p, 0)
-            gradient[:k] += np.bincount(where[:, 2], off[where[:, 0], where[:, 1]], minlength=k)
-            gradient[k] += off.sum()
-            on = mask[:, 1:]
-            real = np.array([[((gold[:, :-1] == s) & (gold[:, 1:] == r) & on).sum() for r in (0, 1)] for s in (0, 1)])
-            gradient[k + 1 :] += (real - expected).ravel()
-        gradient[:k] -= 0.1 * weights
-        first = 0.8 * first + 0.2 * gradient
-        second = 0.95 * second + 0.05 * gradient**2
-        parameters = parameters + 3 * rate * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-8)
-    k = len(names)
-    field = Field(dict(zip(names, parameters[:k].tolist(), strict=True)), float(parameters[k]), parameters[k + 1 :].reshape(2, 2), constant)
-    field.logistic = _logistic(*_known_tokens(field, tokens), toxic, prior, field)
+    x = np.concatenate([np.full(k, 2.0), [np.log((data.gold.sum() + 1) / (tokens + 1))], np.zeros(4)])
+    x = maximum(lambda v: likelihood(v, data), x, small=max(0.01, 1e-6 * tokens))
+    field.weights, field.bias, field.transitions = dict(zip(names, x[:k].tolist(), strict=True)), float(x[k]), x[k + 1 :].reshape(2, 2)
+    p = field.marginals(np.bincount(data.token, x[data.feature], minlength=len(data.gold)), data.chains)
+    field.logistic = _logistic(aggregated(p, data.chains), toxic, prior, field.logistic)
     return field
 
 
-def _known_tokens(field: Field, tokens: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    memo: dict[str, float] = {}
-    at, weight = [], []
-    for own in tokens:
-        w = np.zeros(len(own))
-        for i, t in enumerate(own):
-            if t not in memo:
-                memo[t] = field.weight(t)
-            w[i] = memo[t]
-        at.append(np.flatnonzero(w))
-        weight.append(w[at[-1]])
-    return at, weight, np.array([len(x) for x in tokens])
+def _constant(prior: float) -> np.ndarray:
+    return np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6)), 0.0, 0.0])
 
 
-def _logistic(at, weight, length, toxic, prior, field) -> np.ndarray:
+def _logistic(x: np.ndarray, toxic: np.ndarray, prior: float, w: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method; classes weighted to the prior."""
-    x = aggregated(field.marginals(at, weight, length))
     share = toxic.mean()
     importance = np.where(toxic, prior / share, (1 - prior) / (1 - share))
-    w = field.logistic.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (importance * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.02, 0.02])
@@ -254,6 +266,65 @@ def _logistic(at, weight, length, toxic, prior, field) -> np.ndarray:
     return w
 
 
+def telling_features(texts: DataFrame, n: dict[int, int], least_odds: float, least_z: float, least_texts: int) -> dict[str, float]:
+    """Log odds of features found in at least least_texts toxic texts, with log odds of at least
+    least_odds and rates in the two classes at least least_z standard errors apart.
+
+    texts: text, toxic; n: texts of each class.
+    """
+
+    def run(batches):
+        for batch in batches:
+            seen = (Counter(), Counter())
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[toxic].update({f for w in set(text.split()) for f in features(w)})
+            names = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in seen)], ["feature", "k0", "k1"])
+
+    counted = texts.select("text", "toxic").mapInArrow(run, "feature string, k0 bigint, k1 bigint").groupBy("feature").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+    k0, k1 = F.col("k0"), F.col("k1")
+    pooled = (k0 + k1) / (n[0] + n[1])
+    z = (k1 / n[1] - k0 / n[0]) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+    odds = F.log((k1 + 0.5) / (n[1] + 1)) - F.log((k0 + 0.5) / (n[0] + 1))
+    found = counted.where(k1 >= least_texts).select("feature", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= least_odds) & (F.col("z") >= least_z))
+    return {r["feature"]: r["odds"] for r in found.collect()}
+
+
+def labelled_chains(texts: DataFrame, odds: dict[str, float], strong: float) -> tuple[list[str], Labelled, np.ndarray]:
+    """(features, chains of the texts with labelled tokens, labels of the texts).
+
+    texts: text, toxic. A token of a toxic text is labelled toxic if a feature's log odds are at least `strong`.
+    """
+    names = sorted(odds)
+    known = sent(texts.sparkSession, ({f: i for i, f in enumerate(names)}, [odds[f] >= strong for f in names]))
+
+    def run(batches):
+        number, is_strong = received(known)
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens, at, own, gold = text.split(), [], [], []
+                met = {w: fs for w in set(tokens) if (fs := [number[f] for f in features(w) if f in number])}
+                for i, w in enumerate(tokens):
+                    if w in met:
+                        at.append(i)
+                        own.append(met[w])
+                        gold.append(int(toxic == 1 and any(is_strong[f] for f in met[w])))
+                rows.append((toxic, len(tokens), at, gold, list(map(len, own)), [f for fs in own for f in fs]))
+            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["toxic", "length", "at", "gold", "n", "features"])
+
+    kind = "toxic int, length bigint, at array<bigint>, gold array<bigint>, n array<bigint>, features array<bigint>"
+    table = texts.select("text", "toxic").mapInArrow(run, kind).toArrow().combine_chunks()
+    order = np.lexsort((table["length"].to_numpy(), table["toxic"].to_numpy()))
+    table = table.take(pa.array(order)).combine_chunks()
+    flat = {c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "gold", "n", "features")}
+    counts = np.array([len(x) for x in table["at"].to_pylist()], np.int64)
+    chains = Chains(flat["at"], counts, table["length"].to_numpy().astype(np.int64))
+    data = Labelled(chains, np.repeat(np.arange(len(flat["at"])), flat["n"]), flat["features"], flat["gold"].astype(float), len(names))
+    return names, data, table["toxic"].to_numpy() == 1
+
+
 def fold(doc_id: Column) -> Column:
     """CRC-32 of the id's text, mod 5; rows of fold 0 are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -267,13 +338,17 @@ def fit_toxicity(
     label_col: str = "toxic",
     label_id_col: str = "doc_id",
     most_rows: int = 2000,
-    most_chars: int = 200_000,
+    least_odds: float = 1.5,
+    least_z: float = 3.5,
+    least_texts: int = 4,
 ) -> Field:
     """Fits a field on at most most_rows labelled documents of each class, none of fold 0.
 
-    They are those of smallest id hash, whatever the input's size; texts over most_chars are not
-    fitted on, which bounds the sample. Rows with null ids, labels or texts are not used. Without
-    both classes every score is the share of toxic labels (a half where there are none).
+    They are those of smallest id hash, whatever the input's size, and are read whole, however long:
+    executors count their features and cut them into chains, so that the driver gets the features
+    that tell the classes apart and the tokens that have one. Rows with null ids, labels or texts
+    are not used; rows equal in id and text count once. Without both classes every score is the
+    share of toxic labels (a half where there are none).
     """
     marks = only(labels, doc_id=(label_id_col, "bigint"), toxic=(label_col, "int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marks = marks.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -281,10 +356,15 @@ def fit_toxicity(
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [marks.where(F.col("toxic") == c).orderBy(*order).limit(most_rows) for c in (0, 1)]
-    texts = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")).where(F.length("text") <= most_chars)
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
-    return fit_field([r[1] for r in rows], np.array([r[2] == 1 for r in rows], bool), prior)
+    source = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")).where("text IS NOT NULL")
+    texts = staged(source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic"), "labelled")
+    n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if not all(n.values()):
+        return Field({}, -6.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]])), _constant(prior))
+    odds = telling_features(texts, n, least_odds, least_z, least_texts)
+    names, data, toxic = labelled_chains(texts, odds, least_odds + 0.5)
+    dropped(texts)
+    return fit_field(names, data, toxic, prior)
 
 
 def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,19 +393,21 @@ def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_c
         for batch in batches:
             scores, spans = [], []
             for _, _, data, ends in slices(batch.column(1), SLICE_BYTES):
-                data, begin, texts, at, weights, length = data.tobytes(), 0, [], [], [], []
+                data, begin, texts, at, lift, length = data.tobytes(), 0, [], [], [], []
                 for end in ends.tolist():
                     text = data[begin:end].decode("utf-8", "replace")
                     begin = end
                     tokens = text.split()
                     w = np.fromiter(map(weight, tokens), np.float64, len(tokens))
                     at.append(np.flatnonzero(w))
-                    weights.append(w[at[-1]])
+                    lift.append(w[at[-1]])
                     length.append(len(tokens))
                     texts.append(text if len(at[-1]) else "")
-                p = field.marginals(at, weights, np.array(length))
-                scores.append(field.score(p))
-                for text, own, q in zip(texts, at, p, strict=True):
+                counts = np.array(list(map(len, at)), np.int64)
+                chains = Chains(np.concatenate(at), counts, np.array(length, np.int64))
+                p = field.marginals(np.concatenate(lift), chains)
+                scores.append(field.score(p, chains))
+                for text, own, q in zip(texts, at, np.split(p, np.cumsum(counts)[:-1]), strict=True):
                     bad = q >= 0.5
                     if not bad.any():
                         spans.append([])

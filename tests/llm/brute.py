@@ -131,3 +131,34 @@ def packed_well(rows, docs, encode, length=2048, end_id=1):
         assert at <= length
     used = sum(n for p in by_sequence.values() for _, n in p)
     return 1 - used / (length * len(by_sequence))
+
+
+# --- a linear-chain field with two states, by all labellings ---
+
+
+def labellings(n, lift, bias, transitions):
+    """(log partition, probability of state 1 at each token, expected transitions) of a chain of n tokens."""
+    from itertools import product
+
+    total, ones, steps = 0.0, np.zeros(n), np.zeros((2, 2))
+    for y in product((0, 1), repeat=n):
+        w = np.exp(sum((bias + lift.get(t, 0.0)) * s for t, s in enumerate(y)) + sum(transitions[a][b] for a, b in zip(y, y[1:], strict=False)))
+        total += w
+        ones += w * np.array(y, float)
+        for a, b in zip(y, y[1:], strict=False):
+            steps[a, b] += w
+    return np.log(total), ones / total, steps / total
+
+
+def field_likelihood(v, lengths, places, owned, gold, bases, ridge=0.1):
+    k = owned.shape[1]
+    weights, bias, transitions = v[:k], v[k], v[k + 1 :].reshape(2, 2)
+    value = -ridge / 2 * float(v @ v)
+    for n, at, base in zip(lengths, places, bases, strict=True):
+        lift = {int(t): float(owned[base + i] @ weights) for i, t in enumerate(at)}
+        y = np.zeros(n, int)
+        for i, t in enumerate(at):
+            y[t] = int(gold[base + i])
+        value += sum((bias + lift.get(t, 0.0)) * s for t, s in enumerate(y)) + sum(transitions[a][b] for a, b in zip(y, y[1:], strict=False))
+        value -= labellings(n, lift, bias, transitions)[0]
+    return float(value)

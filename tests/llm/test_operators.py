@@ -282,17 +282,55 @@ def test_toxicity_on_held_out_rows(spark):
     assert [text[s["first"] : s["end"]] for s in got[1002]["spans"]] == ["IDIOT!"]
 
 
-def test_gap_powers_equal_the_full_chain():
+def field_case(rng, texts=7, most=9, share=0.4, features=3):
+    """Labelled chains and, token by token, what brute.field wants."""
+    length = rng.integers(0, most + 1, texts)
+    at = [np.flatnonzero(rng.random(n) < share) for n in length]
+    counts = np.array([len(x) for x in at], np.int64)
+    chains = toxicity.Chains(np.concatenate(at).astype(np.int64), counts, length.astype(np.int64))
+    n = int(counts.sum())
+    owned = rng.random((n, features)) < 0.5
+    owned[np.arange(n), rng.integers(0, features, n)] = True
+    token, feature = np.nonzero(owned)
+    return toxicity.Labelled(chains, token, feature, (rng.random(n) < 0.5).astype(float), features), owned
+
+
+def test_chain_sums_equal_all_labellings():
     rng = np.random.default_rng(2)
-    field = toxicity.Field({}, -2.0, np.array([[0.3, -0.5], [-0.2, 0.9]]), np.zeros(3))
-    lift = np.where(rng.random((6, 40)) < 0.2, rng.normal(2, 1, (6, 40)), 0.0)
-    known = np.arange(40) < rng.integers(1, 41, 6)[:, None]
-    lift[~known] = 0
-    full, _ = toxicity._forward_backward(lift, known, field.bias, field.transitions)
-    at = [np.flatnonzero(row) for row in lift]
-    got = field.marginals(at, [row[i] for row, i in zip(lift, at, strict=True)], known.sum(1))
-    for d in range(6):
-        assert np.allclose(got[d], full[d, at[d]])
+    for transitions in ([[0.3, -0.5], [-0.2, 0.9]], [[-0.5, 1.0], [0.8, -1.0]]):
+        data, owned = field_case(rng)
+        c, weights, bias, transitions = data.chains, rng.normal(0, 2, 3), -1.0, np.array(transitions)
+        p, log_z, ones, steps = toxicity.chain_sums(bias, transitions, owned @ weights, c)
+        want = [brute.labellings(n, dict(zip(at.tolist(), (owned[b : b + len(at)] @ weights).tolist(), strict=True)), bias, transitions)
+                for n, b, at in zip(c.length.tolist(), c.base.tolist(), np.split(c.at, np.cumsum(c.counts)[:-1]), strict=True)]
+        assert np.isclose(log_z, sum(w[0] for w in want))
+        assert np.isclose(ones, sum(sum(w[1]) for w in want)) and np.allclose(steps, sum(w[2] for w in want))
+        assert np.allclose(p, [want[t][1][i] for t, i in zip(c.text.tolist(), c.at.tolist(), strict=True)])
+
+
+def test_the_fit_is_the_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(4)
+    data, owned = field_case(rng, texts=12, most=7)
+    found = toxicity.maximum(lambda v: toxicity.likelihood(v, data), np.zeros(8), small=1e-6)
+    c = data.chains
+    plain = lambda v: brute.field_likelihood(v, c.length.tolist(), np.split(c.at, np.cumsum(c.counts)[:-1]), owned, data.gold, c.base.tolist())
+    best = plain(found)
+    assert np.isclose(best, toxicity.likelihood(found, data)[0])
+    for i in range(8):  # a concave function with a flat slope has its maximum there
+        e = np.eye(8)[i] * 1e-4
+        assert abs(plain(found + e) - plain(found - e)) / 2e-4 < 1e-4
+        assert plain(found + 100 * e) < best > plain(found - 100 * e)
+
+
+def test_a_long_chain_beside_short_ones():
+    """A text of known tokens alone, a hundred thousand of them, among ten thousand short texts."""
+    n = 100_000
+    counts = np.array([n, *[1] * 10_000, 0], np.int64)
+    chains = toxicity.Chains(np.concatenate([np.arange(n), np.full(10_000, 2)]), counts, np.array([n, *[5] * 10_000, 9]))
+    field = toxicity.Field({}, -2.0, np.array([[0.3, -0.5], [-0.2, 0.9]]), np.array([-3.0, 4.0, 1.0]))
+    p = field.marginals(np.full(n + 10_000, 0.5), chains)
+    assert np.isfinite(p).all() and p.std() < 0.2 and np.allclose(p[n:], p[n]) and np.allclose(p[100 : n - 100], p[n // 2])
+    assert len(field.score(p, chains)) == 10_002
 
 
 def test_toxicity_without_labels(spark):
