@@ -18,7 +18,7 @@ def boilerplate_lines(lines: DataFrame, sites: int, lg_k: int = 12, guard: float
     """(hash, first, n_sites) of line hashes seen on at least `sites` distinct sites.
 
     lines: doc_id, line_no, hash, site (all but line_no bigint). first is the line's first place as
-    a struct of doc_id and line_no. n_sites is exact near the threshold and estimated elsewhere.
+    a struct of doc_id and line_no, a null id before any other. n_sites is exact near the threshold and estimated elsewhere.
     """
     several = staged(
         lines.groupBy("hash").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a != b").select("hash"), "several-sites"
@@ -69,7 +69,7 @@ def remove_boilerplate_lines(
         *(F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carried)),
     )
     own = own.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"),
+        "doc_id",
         F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("site", F.lit(""))).alias("seq"),
         F.xxhash64(F.coalesce("site", F.lit(""))).alias("site"),
         F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("lines"),
@@ -85,7 +85,7 @@ def remove_boilerplate_lines(
     shared = boilerplate_lines(lines, sites, lg_k, guard)
     gone = staged(
         lines.join(shared.select("hash", "first"), "hash")
-        .where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line_no") != F.col("line_no")))
+        .where(~F.col("first.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("first.line_no") != F.col("line_no")))
         .groupBy("doc_id", "seq")
         .agg(F.collect_set("line_no").alias("gone")),
         "gone-lines",
@@ -93,9 +93,10 @@ def remove_boilerplate_lines(
     dropped(lines, shared)
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     kept = F.transform(F.array_except(every, "gone"), lambda i: F.element_at("lines", i + 1))
-    # both sides are dealt by document at every size: a lucky broadcast on small input would hide what large input costs
-    return own.join(gone.hint("merge"), ["doc_id", "seq"], "left").select(
-        F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"),
+    # texts are dealt by document at every size; a broadcast of `gone` would grow with the corpus
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("seq").alias("gone_seq"), "gone").hint("merge")
+    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("seq") == F.col("gone_seq")), "left").select(
+        "doc_id",
         F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n").alias("kept_text"),

@@ -112,6 +112,15 @@ def only(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").cast(kind).alias(target) for target, (source, kind) in columns.items()))
 
 
+def same(left: DataFrame, right: DataFrame, *columns: str):
+    """Equality of the named columns, in which null equals null."""
+    out = None
+    for c in columns:
+        one = left[c].eqNullSafe(right[c])
+        out = one if out is None else out & one
+    return out
+
+
 # --- words -------------------------------------------------------------------------------------
 
 
@@ -124,18 +133,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Splits UTF-8 bytes into words at given ASCII separators and hashes each word to 64 bits.
 
-    fold lower-cases A-Z. Everything is vectorised over a slice of many texts.
+    fold lower-cases A-Z; other seeds give independent hashes. Everything is vectorised over a
+    slice of many texts.
     """
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, separators: bytes, fold: bool):
+    def __init__(self, separators: bytes, fold: bool, seed: int = 0):
+        if seed:
+            self.BASE = _mixed(np.array([seed], np.uint64))[0] | np.uint64(1)
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True
         code = np.arange(256, dtype=np.uint64)
         if fold:
             code[65:91] += np.uint64(32)
-        self.code = _mixed(code + np.uint64(0x1234567))
+        self.code = _mixed(code + np.uint64(0x1234567 + (seed << 20)))
         self.power = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> np.ndarray:
