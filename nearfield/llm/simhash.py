@@ -148,12 +148,20 @@ def _fields(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def blocks_for(leaves: int, errors: int) -> int:
+    """The fewest blocks whose keys spread so many fingerprints to a few hundred a node: fewer copies of each."""
+    blocks = errors + 2
+    while blocks < 2 * errors + 4 and leaves >> sum(sorted(w for _, w in _fields(blocks))[: blocks - errors]) > 256:
+        blocks += 1
+    return blocks
+
+
 def fingerprint_links(leaves: DataFrame, errors: int = 4, blocks: int = 6) -> DataFrame:
     """Links (a, b) between distinct fingerprints at most `errors` bits apart, as spanning forests.
 
     leaves: one bigint column `fingerprint`, distinct. blocks - errors blocks must agree, so more
-    blocks make longer keys and smaller tasks at more copies: 6 (15 copies, 21-bit keys) suits up
-    to some hundred million fingerprints, 8 (70 copies, 32-bit keys) the rest; any choice is exact.
+    blocks make longer keys and smaller tasks at more copies: 6 have 15 copies and keys of 21 bits,
+    8 have 70 and 32 bits; any choice is exact (see blocks_for).
     """
     fields = _fields(blocks)
     tries = list(combinations(range(blocks), blocks - errors))
@@ -231,17 +239,19 @@ def fingerprint_links(leaves: DataFrame, errors: int = 4, blocks: int = 6) -> Da
     )
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, errors: int = 4, blocks: int = 6, seed: int = 42) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, errors: int = 4, blocks: int | None = None, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint bigint, component_id, kept): groups of documents linked by fingerprints.
 
     component_id is the smallest doc_id reachable over links of at most `errors` bits; kept marks
-    that document. Null and empty texts have fingerprint 0 and form one group. Rows with a null id
+    that document. blocks: of the tries' keys, chosen by the number of fingerprints if not given.
+
+    Null and empty texts have fingerprint 0 and form one group. Rows with a null id
     are passed on with a null component of their own unless their group has ids. An empty table
     gives an empty one; repeated ids give repeated rows.
     """
     marks = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     leaves = staged(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "leaves")
-    links = fingerprint_links(leaves.select("fingerprint"), errors, blocks)
+    links = fingerprint_links(leaves.select("fingerprint"), errors, blocks or blocks_for(leaves.count(), errors))
     linked = staged(connected_components(links), "linked")
     roots = (
         linked.join(leaves, linked.node == leaves.fingerprint)

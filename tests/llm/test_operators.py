@@ -169,6 +169,17 @@ def test_boilerplate_lines(spark):
     assert remove_boilerplate_lines(frame(spark, [])).count() == 0
 
 
+def test_boilerplate_by_estimate_alone_and_extreme_ids(spark):
+    """Lines far from the threshold are decided by their sketch; the smallest and largest ids are ids like others."""
+    line = "a line that forty sites have in common"
+    rows = [(i, line, f"s{i}") for i in range(40)] + [(-(2**63), line, "s0"), (2**63 - 1, line + "\nown", "s1")]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in remove_boilerplate_lines(frame(spark, rows)).collect()}
+    assert got.pop(-(2**63)) == (0, line) and got.pop(2**63 - 1) == (1, "own") and set(got.values()) == {(1, "")}
+    rows.append((None, line, "s9"))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in remove_boilerplate_lines(frame(spark, rows)).collect()}
+    assert got[None] == (0, line) and got[-(2**63)] == (1, "")
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
@@ -420,6 +431,12 @@ def test_substrings_of_documents_and_odd_ids(spark, documents):
     rows = remove_repeated_substrings(frame(spark, [(3, long), (3, long), (None, long), (None, "a"), (2, "b " + long)])).collect()
     assert sorted((r[0] or 0, r[1], r[2]) for r in rows) == [(0, 1, 0), (0, 60, 60), (2, 61, 0), (3, 60, 60), (3, 60, 60)]
     assert remove_repeated_substrings(frame(spark, [])).count() == 0
+    rows = [(2**63 - 1, long), (None, long), (None, "z " + long), (None, long + " " + long), (2**63 - 1, "other")]
+    got = sorted(((r[0] or 0, r[1], r[2]) for r in remove_repeated_substrings(frame(spark, rows)).collect()))
+    assert got == [(0, 60, 60), (0, 61, 60), (0, 120, 120), (2**63 - 1, 1, 0), (2**63 - 1, 60, 0)]
+    rows = [(None, "head " + long)] * 50 + [(None, long + " tail")] * 50 + [(None, "head " + long + f" {i}") for i in range(3)]
+    got = remove_repeated_substrings(frame(spark, rows)).collect()  # one document: only second starts in a text go
+    assert len(got) == 103 and all(r["n_removed"] == 0 for r in got)
 
 
 # --- op7 ---
@@ -567,6 +584,14 @@ def test_simhash(spark, monkeypatch, leaves, blocks):
     assert all(r["kept"] == (r[0] == r[2]) for r in rows)
 
 
+def test_blocks_grow_with_the_fingerprints():
+    sizes = [0, 10**6, 10**8, 10**9, 10**10, 10**12, 10**14]
+    blocks = [simhash.blocks_for(n, 4) for n in sizes]
+    assert blocks == sorted(blocks) and blocks[2] == 6 < blocks[-1]
+    for n, k in zip(sizes, blocks, strict=True):
+        assert n >> sum(sorted(w for _, w in simhash._fields(k))[: k - 4]) <= 256
+
+
 def test_simhash_of_documents_and_odd_ids(spark, documents):
     rows = queries.op9_simhash(spark, SF).collect()
     assert {r[0]: (int(r[1], 16), r[2]) for r in rows} == brute.simhash(documents)
