@@ -6,6 +6,8 @@ meet rarely. The order decides only the cost: every pair that can reach t is a c
 candidate is verified on its whole sets. Documents that share a prefix shingle are first compared
 with one of them, the pivot; only pairs that this leaves in different components are compared one
 by one, so a large group of near copies costs its size, not its square. Equal sets are one set.
+Candidates known from elsewhere, such as fingerprints, are verified first and spare the pairs that
+they have already brought into one component.
 """
 
 from __future__ import annotations
@@ -215,22 +217,31 @@ def _verified(pairs: DataFrame, keyed: DataFrame, shingle: int, threshold: float
     return found
 
 
-def jaccard_components(keyed: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def jaccard_components(keyed: DataFrame, shingle: int = 5, threshold: float = 0.8, candidates: DataFrame | None = None) -> DataFrame:
     """(node, component) of set keys over links of similarity threshold or more; keys without links are left out.
 
-    keyed: set_key and text, a stage table. Words are compared with A-Z lower-cased, shingles and
-    sets by 64-bit hashes; sets without a shingle link with nothing but are equal among themselves.
+    keyed: set_key and text, a stage table. candidates: pairs (a, b) of set keys to try first.
+    Words are compared with A-Z lower-cased, shingles and sets by 64-bit hashes; sets without a
+    shingle link with nothing but are equal among themselves.
     """
+    spark = keyed.sparkSession
+    candidates = spark.createDataFrame([], "a bigint, b bigint") if candidates is None else candidates
+    links = [_verified(staged(candidates.select("a", "b").where("a != b").distinct(), "candidates"), keyed, shingle, threshold)]
+    labels = staged(connected_components(links[0]), "labels")
+
+    def labelled(rows):
+        return rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+
     shared = staged(_prefixes(keyed, shingle, threshold), "prefixes")
-    pivots = shared.groupBy("hash").agg(F.min("key").alias("pivot"), F.min_by("size", "key").alias("other"))
-    size, other = F.col("size"), F.col("other")
-    pairs = shared.join(pivots, "hash").where((F.col("key") != F.col("pivot")) & (F.least(size, other) >= threshold * F.greatest(size, other) - _EPS))
-    tried = staged(pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pivots")
-    links = _verified(tried, keyed, shingle, threshold)
-    labels = staged(connected_components(links), "labels")
-    labelled = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-    rest = staged(_unresolved(labelled, threshold).distinct().join(tried, ["a", "b"], "left_anti"), "unresolved")
-    more = _verified(rest, keyed, shingle, threshold)
-    found = staged(connected_components(links.unionByName(more)), "components")
-    dropped(shared, tried, links, labels, rest, more)
+    size, other = F.col("size"), F.col("first.size")
+    first = labelled(shared)
+    pivots = first.groupBy("hash").agg(F.min(F.struct("key", "size", "label")).alias("first"))
+    pairs = first.join(pivots, "hash").where((F.col("label") != F.col("first.label")) & (F.least(size, other) >= threshold * F.greatest(size, other) - _EPS))
+    tried = staged(pairs.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct(), "pivots")
+    links.append(_verified(tried, keyed, shingle, threshold))
+    old, labels = labels, staged(connected_components(links[0].unionByName(links[1])), "labels")
+    rest = staged(_unresolved(labelled(shared), threshold).distinct().join(tried, ["a", "b"], "left_anti"), "unresolved")
+    links.append(_verified(rest, keyed, shingle, threshold))
+    found = staged(connected_components(links[0].unionByName(links[1]).unionByName(links[2])), "components")
+    dropped(shared, tried, old, labels, rest, *links)
     return found

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step looks at; longer texts are cut at a separator.
 SLICE_BYTES = 1 << 20
@@ -112,6 +113,14 @@ def only(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").cast(kind).alias(target) for target, (source, kind) in columns.items()))
 
 
+def carrying(docs: DataFrame, carried: tuple[str, ...], made: tuple[str, ...]) -> list[T.StructField]:
+    """The fields of docs that go through an operator as they are; none may have the name of one it makes."""
+    clash = sorted(set(carried) & set(made))
+    if clash:
+        raise ValueError(f"columns made here can't be carried: {', '.join(clash)}")
+    return [T.StructField(c, docs.schema[c].dataType) for c in carried]
+
+
 def same(left: DataFrame, right: DataFrame, *columns: str):
     """Equality of the named columns, in which null equals null."""
     out = None

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import SLICE_BYTES, dropped, only, received, sent, slices, staged
+from .shared import SLICE_BYTES, carrying, dropped, only, received, sent, slices, staged
 
 #: Tokens whose weight a worker keeps.
 CACHED_TOKENS = 200_000
@@ -367,8 +368,8 @@ def fit_toxicity(
     return fit_field(names, data, toxic, prior)
 
 
-def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, spans) of each whole text; nothing but the text is looked at.
+def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, spans, and carried columns of docs) of each whole text; nothing but the text is looked at.
 
     spans: structs of first character, end and probability of tokens more likely toxic than not.
     Null and empty texts get the score of a text without known tokens. Repeated rows give repeated
@@ -415,8 +416,11 @@ def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_c
                     wanted = dict(zip(own[bad].tolist(), q[bad].tolist(), strict=True))
                     spans.append([{"first": m.start(), "end": m.end(), "p": wanted[i]} for i, m in enumerate(spaced.finditer(text)) if i in wanted])
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, pa.list_(span))], ["doc_id", "score", "spans"])
-
-    return only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")).mapInArrow(
-        run, "doc_id bigint, score double, spans array<struct<first:bigint,end:bigint,p:double>>"
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, pa.list_(span)), *batch.columns[2:]], names)
+
+    made = T.StructType.fromDDL("doc_id bigint, score double, spans array<struct<first:bigint,end:bigint,p:double>>")
+    kind = T.StructType([*made, *carrying(docs, carried, tuple(made.names))])
+    names = kind.names
+    source = {"doc_id": F.col(f"`{id_col}`").cast("bigint"), "text": F.col(f"`{text_col}`").cast("string")}
+    source |= {f"carried_{i}": F.col(f"`{c}`") for i, c in enumerate(carried)}
+    return docs.select(*(c.alias(n) for n, c in source.items())).mapInArrow(run, kind)
