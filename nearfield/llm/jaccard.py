@@ -1,19 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word-shingle sets: prefix filter, pivots, verification.
-
-Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, in any
-one order of all shingles; the order puts shingles frequent in a sample last, so these prefixes
-meet rarely. The order decides only the cost: every pair that can reach t is a candidate, and each
-candidate is verified on its whole sets. Documents that share a prefix shingle are first compared
-with one of them, the pivot; only pairs that this leaves in different components are compared one
-by one, so a large group of near copies costs its size, not its square. Equal sets are one set.
-Candidates known from elsewhere, such as fingerprints, are verified first and spare the pairs that
-they have already brought into one component.
+"""Near-duplicates by Jaccard similarity of word-shingle sets: given candidates, bands of minima, verification.
+
+Candidates known from elsewhere, such as fingerprints, are verified first. Sets that also agree in
+all minima of one of BANDS bands (of ROWS minima each, under random orders of all shingles) form a
+group: a pair of similarity s is in a common group with probability 1 - (1 - s^ROWS)^BANDS, 0.995
+at 0.8 and 0.9999 at 0.9. Groups that the candidates have already brought into one component are
+settled; of the others every member is compared with every member of another component, on the
+whole sets, in the task that holds the group, which hands on a spanning forest and never pairs.
+Large groups are dealt out as pairs of slices. Equal sets are one set.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,13 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import Words, dropped, only, received, sent, staged, window_hashes, word_slices
-
-#: Distinct sets, about, whose shingles are counted for the order, and shingles kept as frequent.
-SAMPLE = 20_000
-FREQUENT = 100_000
-#: Candidate pairs that a task holds at a time.
-PAIRS = 1 << 20
+from .shared import Words, _mixed, dropped, only, staged, window_hashes, word_slices
+from .simhash import spanning
+
+BANDS = 10
+ROWS = 4
+#: Members of a group in one slice; shingles of a text whose minima are taken at a time.
+SLICE = 512
+SHINGLES = 8192
+#: Groups up to this size are compared pair by pair; a shingle in more members than this is counted by a matrix product.
+SMALL = 24
+COMMON = 24
 SEPARATORS = b"\t\n\v\f\r "
 _EPS = 1e-9  # a bound that rounding puts above a whole number must not drop a pair
 
@@ -45,203 +46,167 @@ def shingle_sets(texts: pa.Array, shingle: int, words: Words):
             at += n
 
 
+class _Minima:
+    def __init__(self, seed: int = 3):
+        x = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(seed << 32))
+        self.turn, self.scale = x[::2, None], x[1::2, None] | np.uint64(1)
+
+    def bands(self, s: np.ndarray) -> np.ndarray:
+        """One hash for each band of minima of the set; none of an empty set."""
+        if not len(s):
+            return s
+        least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+        for at in range(0, len(s), SHINGLES):
+            np.minimum(least, ((s[at : at + SHINGLES] ^ self.turn) * self.scale).min(1), out=least)
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for minimum in least.reshape(BANDS, ROWS).T:
+            out = _mixed(out ^ minimum)
+        return out
+
+
 def with_set_keys(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with set_key (bigint) added: a 64-bit hash of the text's set of shingles."""
+    """docs with set_key (a 64-bit hash of the text's set of shingles) and bands (see bands above) added."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     names = schema.names
 
     def run(batches):
-        words = Words(SEPARATORS, fold=True)
+        words, minima = Words(SEPARATORS, fold=True), _Minima()
         for batch in batches:
-            keys = [xxhash.xxh64_intdigest(s.tobytes()) for s in shingle_sets(batch.column(at), shingle, words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names)
+            keys, bands = [], []
+            for s in shingle_sets(batch.column(at), shingle, words):
+                keys.append(xxhash.xxh64_intdigest(s.tobytes()))
+                bands.append(minima.bands(s).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64)), lists], names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _expanded(keyed: DataFrame, shingle: int, made, names: list[str], kinds: list[str]) -> DataFrame:
-    """made()(set) of each set_key, once in a partition: rows under names, with the set's key."""
+def _sets(keyed: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, bytes): the sets of the given keys, as bytes of their sorted hashes; a stage table."""
 
     def run(batches):
-        words, seen, rows = Words(SEPARATORS, fold=True), set(), made()
+        words, seen = Words(SEPARATORS, fold=True), set()
         for batch in batches:
-            columns = [[] for _ in names]
-            keys, sizes = [], []
+            out, ids = [], []
             for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), shingle, words), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                out = rows(s)
-                for column, x in zip(columns, out, strict=True):
-                    column.append(x)
-                keys.append(key)
-                sizes.append(len(out[0]))
-            if keys:
-                arrays = [pa.array(np.concatenate(c)) if isinstance(c[0], np.ndarray) else pa.array([x for y in c for x in y], pa.binary()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), sizes)), *arrays], ["key", *names])
-
-    schema = ", ".join(f"{n} {k}" for n, k in zip(["key", *names], ["bigint", *kinds], strict=True))
-    return only(keyed, key=("set_key", "bigint"), text=("text", "string")).mapInArrow(run, schema)
-
-
-def _frequent(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles, sorted, and their counts in a sample of the sets."""
-    every = max(1, math.ceil(keyed.count() / SAMPLE))
-    sample = keyed.where(F.pmod(F.xxhash64("set_key"), F.lit(every)) == 0)
-    shingles = _expanded(sample, shingle, lambda: lambda s: (s.view(np.int64),), ["hash"], ["bigint"])
-    counts = shingles.groupBy("hash").count().where("count > 2").orderBy(F.desc("count"), "hash").limit(FREQUENT)
-    table = counts.toArrow()
-    h, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-    order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], n[order]
-
-
-def _groups(batches):
-    """Arrays of whole groups of rows that agree in the first column, contiguous in the batches."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        if not rows.shape[1]:
-            continue
-        edge = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-        if held and held[-1][0, -1] != rows[0, 0]:
-            edge = np.concatenate([[0], edge])
-        if len(edge):
-            yield np.concatenate([*held, rows[:, : edge[-1]]], axis=1)
-            held = []
-            rows = rows[:, edge[-1] :]
-        held.append(rows)
-    if held:
-        yield np.concatenate(held, axis=1)
-
-
-def _grouped(df: DataFrame, run, schema: str) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "hash").sortWithinPartitions("hash", "key").mapInArrow(run, schema)
-
-
-def _prefixes(keyed: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(hash, key, size, pos) of each set's prefix, of hashes that several sets have there."""
-    known = sent(keyed.sparkSession, _frequent(keyed, shingle))
-
-    def prefix():
-        h, counts = received(known)
-
-        def of(s):
-            n = len(s)
-            if n and len(h):
-                at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                s = s[np.argsort(np.where(h[at] == s, counts[at], 0), kind="stable")]
-            p = n - math.ceil(threshold * n - _EPS) + 1 if n else 0
-            return s[:p].view(np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)
-
-        return of
-
-    def run(batches):
-        for rows in _groups(batches):
-            fresh = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])
-            rows = rows[:, fresh]  # a set met in several partitions
-            same = rows[0, 1:] == rows[0, :-1]
-            rows = rows[:, np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            if rows.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["hash", "key", "size", "pos"])
-
-    postings = _expanded(keyed, shingle, prefix, ["hash", "size", "pos"], ["bigint", "int", "int"])
-    return _grouped(postings.select("hash", "key", "size", "pos"), run, "hash bigint, key bigint, size bigint, pos bigint")
+                if key not in seen:
+                    seen.add(key)
+                    ids.append(key)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["key", "bytes"])
 
+    asked = keyed.join(keys.select(F.col("key").alias("set_key")).distinct(), "set_key", "left_semi")
+    found = only(asked, key=("set_key", "bigint"), text=("text", "string")).mapInArrow(run, "key bigint, bytes binary")
+    return staged(found.dropDuplicates(["key"]), "sets")
 
-def _possible(n, m, p, q, threshold):
-    """Whether sets of n and m shingles that first meet at places p and q can reach the threshold."""
-    need = np.ceil((n + m) * threshold / (1 + threshold) - _EPS)
-    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - _EPS) & (np.minimum(n - p, m - q) >= need)
 
-
-def _unresolved(labelled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) of one prefix shingle with different labels that can reach the threshold.
-
-    labelled: hash, key, size, pos, label.
-    """
-
-    def run(batches):
-        held, n_held = [], 0
-        for rows in _groups(batches):
-            cut = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
-            for a, b in zip(cut, cut[1:], strict=False):
-                group = rows[1:, a:b]
-                if (group[3] == group[3, 0]).all():
-                    continue
-                group = group[:, np.argsort(group[3], kind="stable")]
-                key, size, pos, label = group
-                after = np.searchsorted(label, label, "right")
-                for i in range(b - a):
-                    j = np.arange(after[i], b - a)
-                    j = j[_possible(size[i], size[j], pos[i], pos[j], threshold)] if len(j) else j
-                    if len(j):
-                        held.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]))
-                        n_held += len(j)
-                    if n_held >= PAIRS:
-                        yield paired(held)
-                        held, n_held = [], 0
-        if held:
-            yield paired(held)
-
-    def paired(held):
-        a, b = np.unique(np.concatenate(held, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return _grouped(labelled.select("hash", "key", "size", "pos", "label"), run, "a bigint, b bigint")
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - _EPS:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both) - _EPS
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of threshold or more."""
-    nodes = staged(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct(), "nodes")
-    asked = keyed.join(nodes, "set_key", "left_semi")
-    sets = _expanded(asked, shingle, lambda: lambda s: ([s.tobytes()],), ["bytes"], ["binary"])
-    sets = staged(sets.dropDuplicates(["key"]), "sets")
+    """The pairs (a, b) whose sets have a similarity of threshold or more."""
+    sets = _sets(keyed, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), shingle)
 
     def run(batches):
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both / (len(x) + len(y) - both) >= threshold)
+            near = [
+                _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     one = sets.select(F.col("key").alias("a"), F.col("bytes").alias("x"))
     other = sets.select(F.col("key").alias("b"), F.col("bytes").alias("y"))
     found = staged(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near")
-    dropped(nodes, sets)
+    dropped(sets)
     return found
 
 
-def jaccard_components(keyed: DataFrame, shingle: int = 5, threshold: float = 0.8, candidates: DataFrame | None = None) -> DataFrame:
+def group_links(sets: list[np.ndarray], label: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between sets of different labels with a similarity of threshold or more, as a spanning forest."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    if n <= SMALL:
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and _alike(sets[i], sets[j], threshold)]
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        return spanning(i, j, n)
+    row, (_, code, count) = np.repeat(np.arange(n), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), np.float32)
+    common = np.flatnonzero(count > COMMON)
+    place = np.full(len(count), -1)
+    place[common] = np.arange(len(common))
+    for at in range(0, len(common), 2048):
+        has = np.zeros((n, min(2048, len(common) - at)), np.float32)
+        own = (place[code] >= at) & (place[code] < at + 2048)
+        has[row[own], place[code[own]] - at] = 1
+        both += has @ has.T
+    own = np.flatnonzero((count[code] > 1) & (count[code] <= COMMON))
+    own = own[np.argsort(code[own], kind="stable")]
+    code, row = code[own], row[own]
+    for step in range(1, COMMON):  # the step-th next member that has the same rare shingle
+        if step >= len(code):
+            break
+        on = code[step:] == code[:-step]
+        np.add.at(both, (row[:-step][on], row[step:][on]), 1)
+        np.add.at(both, (row[step:][on], row[:-step][on]), 1)
+    alike = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4) & (label[:, None] != label[None, :])
+    return spanning(*np.nonzero(np.triu(alike, 1)), n)
+
+
+def _group_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) inside groups. members: hash, part, key, label, bytes."""
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own[:2] != at:
+                    yield from links(held)
+                    at, held = own[:2], []
+                held.append(own[2:])
+        yield from links(held)
+
+    def links(held):
+        if len(held) > 1:
+            key, label, data = zip(*held, strict=True)
+            i, j = group_links([np.frombuffer(x, np.uint64) for x in data], np.array(label), threshold)
+            if len(i):
+                key = np.array(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], ["a", "b"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.select("hash", "part", "key", "label", "bytes").repartition(parts, "hash", "part")
+    return rows.sortWithinPartitions("hash", "part").mapInArrow(run, "a bigint, b bigint")
+
+
+def jaccard_components(keyed: DataFrame, candidates: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(node, component) of set keys over links of similarity threshold or more; keys without links are left out.
 
-    keyed: set_key and text, a stage table. candidates: pairs (a, b) of set keys to try first.
+    keyed: with_set_keys() of texts, a stage table. candidates: pairs (a, b) of set keys to try first.
     Words are compared with A-Z lower-cased, shingles and sets by 64-bit hashes; sets without a
     shingle link with nothing but are equal among themselves.
     """
-    spark = keyed.sparkSession
-    candidates = spark.createDataFrame([], "a bigint, b bigint") if candidates is None else candidates
-    links = [_verified(staged(candidates.select("a", "b").where("a != b").distinct(), "candidates"), keyed, shingle, threshold)]
-    labels = staged(connected_components(links[0]), "labels")
-
-    def labelled(rows):
-        return rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-
-    shared = staged(_prefixes(keyed, shingle, threshold), "prefixes")
-    size, other = F.col("size"), F.col("first.size")
-    first = labelled(shared)
-    pivots = first.groupBy("hash").agg(F.min(F.struct("key", "size", "label")).alias("first"))
-    pairs = first.join(pivots, "hash").where((F.col("label") != F.col("first.label")) & (F.least(size, other) >= threshold * F.greatest(size, other) - _EPS))
-    tried = staged(pairs.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct(), "pivots")
-    links.append(_verified(tried, keyed, shingle, threshold))
-    old, labels = labels, staged(connected_components(links[0].unionByName(links[1])), "labels")
-    rest = staged(_unresolved(labelled(shared), threshold).distinct().join(tried, ["a", "b"], "left_anti"), "unresolved")
-    links.append(_verified(rest, keyed, shingle, threshold))
-    found = staged(connected_components(links[0].unionByName(links[1]).unionByName(links[2])), "components")
-    dropped(shared, tried, old, labels, rest, *links)
+    tried = staged(candidates.select("a", "b").where("a != b").distinct(), "candidates")
+    near = _verified(tried, keyed, shingle, threshold)
+    labels = staged(connected_components(near), "labels")
+    each = keyed.where(F.size("bands") > 0).groupBy(F.col("set_key").alias("key")).agg(F.first("bands").alias("bands"))
+    each = each.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("label"), F.explode("bands").alias("hash"))
+    postings = staged(each, "postings")
+    groups = postings.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("hash", "n")
+    members = staged(postings.join(staged(groups, "groups"), "hash"), "members")
+    sets = _sets(keyed, members, shingle)
+    cuts = F.ceil(F.col("n") / SLICE).cast("int")
+    own, other = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    dealt = members.withColumn("cuts", cuts).withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("hash", "key", "label", (F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")).alias("part"))
+    more = staged(_group_links(dealt.join(sets, "key"), threshold), "group-links")
+    found = staged(connected_components(near.unionByName(more)), "components")
+    dropped(tried, near, labels, postings, members, sets, more)
     return found

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -42,10 +43,34 @@ def near_copies(rng):
     return texts
 
 
-@pytest.mark.parametrize("frequent", [0, 100_000])
-def test_near_duplicates_from_0_8_on(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "PAIRS", 64)
+@pytest.mark.parametrize("small,common", [(0, 0), (0, 5), (24, 24), (10**6, 24)])
+def test_group_links_are_those_of_all_pairs(monkeypatch, small, common):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(60, 91), replace=False), rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(70)]
+    label = rng.integers(0, 50, 70)
+    links = [(i, j) for i in range(70) for j in range(i + 1, 70) if label[i] != label[j] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    assert 20 < len(links) < 2000
+    found = list(zip(*(x.tolist() for x in jaccard.group_links(sets, label, 0.8)), strict=True))
+    assert brute.roots(range(70), found) == brute.roots(range(70), links)
+
+
+def test_pairs_of_0_8_meet_in_a_band():
+    rng = np.random.default_rng(2)
+    minima, met = jaccard._Minima(), {0.8: [], 0.3: []}
+    for s in met:
+        for _ in range(400):
+            both, n = rng.integers(0, 2**63, 160).astype(np.uint64), round(160 / s) - 160
+            a, b = (np.concatenate([both, rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (n // 2, n - n // 2))
+            met[s].append((minima.bands(a) == minima.bands(b)).any())
+    assert np.mean(met[0.8]) > 0.98 and np.mean(met[0.3]) < 0.2
+
+
+@pytest.mark.parametrize("slice", [8, 512])
+def test_near_duplicates_from_0_8_on(spark, monkeypatch, slice):
+    monkeypatch.setattr(jaccard, "SLICE", slice)
     texts = near_copies(random.Random(6))
     n = len(texts)
     alike = {(i, j): similarity(texts[i], texts[j]) for i in range(n) for j in range(i + 1, n)}
