@@ -97,9 +97,13 @@ def _sets(keyed: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["key", "bytes"])
 
-    asked = keyed.join(keys.select(F.col("key").alias("set_key")).distinct(), "set_key", "left_semi")
+    # written first: while they are few, their known size spares the texts a shuffle
+    wanted = staged(keys.select(F.col("key").alias("set_key")).distinct(), "wanted")
+    asked = keyed.join(wanted, "set_key", "left_semi")
     found = only(asked, key=("set_key", "bigint"), text=("text", "string")).mapInArrow(run, "key bigint, bytes binary")
-    return staged(found.dropDuplicates(["key"]), "sets")
+    sets = staged(found.dropDuplicates(["key"]), "sets")
+    dropped(wanted)
+    return sets
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
