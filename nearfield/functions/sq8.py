@@ -16,11 +16,7 @@ def sq8_encode(vector: Column, mean: Sequence[float], scale: float) -> Column:
 
 
 def sq8_distance(codes: Column, query: Sequence[int]) -> Column:
-    """Squared distance of codes in integers: |x|^2 + |y|^2 - 2 x.y, as bigint."""
-    q = [int(x) for x in query]
-    total = None
-    for i, y in enumerate(q):
-        x = F.get(codes, F.lit(i)).cast("bigint")
-        term = x * x - F.lit(2 * y).cast("bigint") * x
-        total = term if total is None else total + term
-    return total + F.lit(sum(y * y for y in q)).cast("bigint")
+    """Squared distance of codes in integers, as bigint; null for null codes or codes of another length."""
+    literal = F.lit([int(x) for x in query]).cast("array<int>")
+    terms = F.zip_with(codes, literal, lambda a, b: (a.cast("int") - b) * (a.cast("int") - b))
+    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint"))

@@ -1,7 +1,9 @@
 """Nearest neighbours of many queries in one pass over the base.
 
-Queries go out in blocks of bounded size; each base partition keeps its best k rows of every
-query, and only those are shuffled for the final ranking. Nothing is paired row by row.
+Queries go out in blocks of bounded size, a block to a pass; each base partition keeps its best k
+rows of every query, and only those are shuffled for the final ranking. A matrix product bounds the
+distances first, and only rows that can rank are measured term by term, so order and ties are those
+of the exact distance. Nothing is paired row by row.
 """
 
 from __future__ import annotations
@@ -15,68 +17,92 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import checked_query
 
-#: Most queries of one block; a block's vectors are what each task holds.
-BLOCK_QUERIES = 1024
+#: Most queries, and most bytes of their vectors, in one block: what each task of a pass holds.
+BLOCK_QUERIES, BLOCK_BYTES = 1 << 14, 32 << 20
+#: Queries and base rows that are compared at a time.
+QUERIES, ROWS = 512, 4096
 
 
-def _query_blocks(queries: DataFrame, qid: str, vector: str, block: int):
-    """Query ids and vectors, block by block; the query set is streamed, never held whole."""
+def _query_blocks(queries: DataFrame, qid: str, vector: str, block: int | None):
+    """Query ids and vectors, block by block, as the driver fetches them."""
     ids, vectors = [], []
     for row in queries.select(F.col(qid).cast("bigint"), F.col(vector).cast("array<double>")).toLocalIterator():
         ids.append(row[0])
         vectors.append(checked_query(row[1]))
-        if len(ids) == block:
+        if len(ids) == (block or max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * len(vectors[0]))))):
             yield np.array(ids, np.int64), np.array(vectors, np.float64)
             ids, vectors = [], []
     if ids:
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
+class _Best:
+    """The k nearest rows of each query so far, by (squared distance, id)."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
+        self.qids, self.q, self.k, self.exclude_self = qids, q, k, exclude_self
+        self.norm = np.einsum("ij,ij->i", q, q)
+        self.worst = np.full(len(q), np.inf)
+        self.row, self.d, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        norm = np.einsum("ij,ij->i", x, x)
+        found = []
+        for at in range(0, len(self.q), QUERIES):
+            own = slice(at, at + QUERIES)
+            near = self.norm[own, None] + norm[None, :] - 2 * (self.q[own] @ x.T)
+            if self.exclude_self:
+                near[self.qids[own, None] == ids[None, :]] = np.inf
+            bound = self.worst[own]
+            if len(x) > self.k:
+                bound = np.minimum(bound, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+            slack = 1e-9 * (self.norm[own] + np.max(norm, initial=0, where=np.isfinite(norm))) + 1e-300
+            i, j = np.nonzero((near <= (bound + slack)[:, None]) & np.isfinite(near))
+            for cut in range(0, len(i), 1 << 16):
+                a, b = i[cut : cut + (1 << 16)] + at, j[cut : cut + (1 << 16)]
+                found.append((a, ((self.q[a] - x[b]) ** 2).sum(1), ids[b]))
+        self._keep(*(np.concatenate(c) for c in zip((self.row, self.d, self.id), *found, strict=True)))
+
+    def _keep(self, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((ids, d, row))
+        row, d, ids = row[order], d[order], ids[order]
+        first = np.searchsorted(row, np.arange(len(self.q)))
+        kept = np.arange(len(row)) - first[row] < self.k
+        self.row, self.d, self.id = row[kept], d[kept], ids[kept]
+        count = np.bincount(self.row, minlength=len(self.q))
+        full = np.flatnonzero(count == self.k)
+        self.worst[full] = self.d[np.cumsum(count)[full] - 1]
+
+
 def _partial(k: int, qids: np.ndarray, q: np.ndarray, exclude_self: bool):
     """A mapInArrow function: the best k rows of each query in one partition, as (qid, id, d2)."""
 
     def run(batches):
-        best_d = np.full((len(q), 0), 0.0)
-        best_i = np.zeros((len(q), 0), np.int64)
+        best = _Best(qids, q, k, exclude_self)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 column = part.column(1)
                 sizes = np.diff(column.offsets.to_numpy())
                 if (sizes != q.shape[1]).any():
                     raise ValueError(f"different vector dimensions: {sizes[sizes != q.shape[1]][0]} and {q.shape[1]}")
                 x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
-                ids = part.column(0).to_numpy()
-                d = np.empty((len(q), len(x)))
-                for i in range(0, len(q), 64):
-                    d[i : i + 64] = ((q[i : i + 64, None, :] - x[None, :, :]) ** 2).sum(2) if x.size * 64 <= 1 << 22 else _direct(q[i : i + 64], x)
-                if exclude_self:
-                    d[qids[:, None] == ids[None, :]] = np.inf
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        keep = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, keep.sum(1))), pa.array(best_i[keep]), pa.array(best_d[keep])], ["qid", "id", "d2"]
-        )
+                best.add(part.column(0).to_numpy(), x)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best.row]), pa.array(best.id), pa.array(best.d)], ["qid", "id", "d2"])
 
     return run
 
 
-def _direct(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.stack([((x - one) ** 2).sum(1) for one in q])
-
-
 def knn_join(
     queries: DataFrame, base: DataFrame, k: int, qid: str = "qid", query_vector: str = "qvec", id: str = "vec_id", vector: str = "embedding",
-    where: Column | str | None = None, exclude_self: bool = False, block: int = BLOCK_QUERIES,
+    where: Column | str | None = None, exclude_self: bool = False, block: int | None = None,
 ) -> DataFrame:
     """(qid, rank, id, d2): the k nearest base rows of each query that satisfy the predicate.
 
     Rank is by (squared distance, id) from 1. Null base vectors never rank. Query ids are distinct;
     a null query vector or unequal dimensions are errors. exclude_self leaves out the base row of
-    the query's own id, as held-out evaluation needs.
+    the query's own id, as held-out evaluation needs. block: queries of one pass over the base, by
+    the vectors' size if not given.
     """
     if k < 1:
         raise ValueError("k is at least 1")

@@ -1,8 +1,9 @@
 """Partition-probing search: vectors filed under their nearest centroid, few lists read per query.
 
-The number of probed lists is the recall knob; at all lists the answer is exact. Lists are physical
-partitions, so a probe set is partition pruning. A result that comes out short is widened by
-doubling the probes, up to all lists, and every pass ranks anew.
+The number of probed lists is the recall knob; at all lists the answer is exact. A stored index is
+partitioned by ranges of lists (list_part) and sorted by list within, so a probe set prunes
+directories and row groups. A result that comes out short is widened by doubling the probes, up to
+all lists, and every pass ranks anew.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import types as T
 from ..functions.vectors import checked_query, l2_squared
 from .exact import filtered_top_k
 
+#: Most directories of a stored index; each holds a range of lists.
+MOST_PARTS = 256
+
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """table: the base's rows with list_id; centroids: one row per list, in list order."""
+    """table: the base's rows with list_id (stored: and list_part); centroids: one row per list, in list order."""
 
     table: DataFrame
     centroids: np.ndarray
@@ -39,6 +43,21 @@ class IvfIndex:
         d = ((self.centroids - np.array(query)) ** 2).sum(1)
         return np.lexsort((np.arange(len(d)), d))[:n].tolist()
 
+    def part(self, list_id: int) -> int:
+        return list_id * min(self.lists, MOST_PARTS) // self.lists
+
+    def probed(self, query: Sequence[float], n: int) -> DataFrame:
+        """The rows of the n lists nearest to the query."""
+        lists = self.probes(query, n)
+        rows = self.table.where(F.col("list_id").isin(lists))
+        return rows.where(F.col("list_part").isin(sorted({self.part(x) for x in lists}))) if "list_part" in self.table.columns else rows
+
+
+def with_parts(table: DataFrame, lists: int) -> DataFrame:
+    """table with list_part, dealt and sorted as a stored index is."""
+    part = F.floor(F.col("list_id").cast("bigint") * min(lists, MOST_PARTS) / lists).cast("int")
+    return table.withColumn("list_part", part).repartitionByRange("list_part", "list_id").sortWithinPartitions("list_part", "list_id")
+
 
 def train_centroids(sample: np.ndarray, lists: int, rounds: int = 15, seed: int = 17) -> np.ndarray:
     """Lloyd's iterations from seeded sample rows; an empty list keeps its centroid."""
@@ -63,9 +82,10 @@ def _assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_ivf(base: DataFrame, vector: str = "embedding", id: str = "vec_id", lists: int = 0, train_rows: int = 50_000, seed: int = 17) -> IvfIndex:
+def build_ivf(base: DataFrame, vector: str = "embedding", id: str = "vec_id", lists: int = 0, train_rows: int = 50_000, seed: int = 17, at: str | None = None) -> IvfIndex:
     """Files every non-null vector; centroids are fitted on at most train_rows rows, those of
-    smallest id hash. lists: 0 for the square root of the row count."""
+    smallest id hash. lists: 0 for the square root of the row count. at: a folder to store the index
+    in; without it every use files the base anew."""
     rows = base.where(F.col(vector).isNotNull())
     sample = rows.select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(id), F.col(id)).limit(train_rows).collect()
     if not sample:
@@ -83,20 +103,31 @@ def build_ivf(base: DataFrame, vector: str = "embedding", id: str = "vec_id", li
 
     schema = T.StructType([*rows.schema.fields, T.StructField("list_id", T.IntegerType())])
     table = rows.withColumn("_v", F.col(vector).cast("array<double>")).mapInArrow(file, schema)
-    return IvfIndex(table, centroids, vector, id)
+    if at is None:
+        return IvfIndex(table, centroids, vector, id)
+    with_parts(table, len(centroids)).write.partitionBy("list_part").parquet(at)
+    return IvfIndex(base.sparkSession.read.parquet(at), centroids, vector, id)
+
 
+def ivf_top_k(index: IvfIndex, query: Sequence[float], k: int, probes: int, where: Column | str | None = None, ranked=None) -> tuple[DataFrame, int]:
+    """Top k of the probed lists and how many lists were read in the end.
 
-def ivf_top_k(index: IvfIndex, query: Sequence[float], k: int, probes: int, where: Column | str | None = None) -> tuple[DataFrame, int]:
-    """Top k of the probed lists and how many lists were read in the end."""
+    ranked: (rows, query, k, vector, id, where) -> top k; exact ranking if not given. The k rows are
+    fetched to see whether the result is short, and are the result.
+    """
+    ranked = ranked or filtered_top_k
     query = checked_query(query)
     if len(query) != index.centroids.shape[1]:
         raise ValueError(f"different vector dimensions: {index.centroids.shape[1]} and {len(query)}")
     n = max(1, min(probes, index.lists))
     while True:
-        rows = index.table if n == index.lists else index.table.where(F.col("list_id").isin(index.probes(query, n)))
-        found = filtered_top_k(rows, query, k, index.vector, index.id, where)
-        if n == index.lists or found.count() == k:
-            return found.drop("list_id"), n
+        rows = index.table if n == index.lists else index.probed(query, n)
+        found = ranked(rows, query, k, index.vector, index.id, where).drop("list_id", "list_part")
+        if n == index.lists:
+            return found, n
+        rows = found.collect()  # k rows
+        if len(rows) == k:
+            return index.table.sparkSession.createDataFrame(rows, found.schema), n
         n = min(index.lists, 2 * n)
 
 

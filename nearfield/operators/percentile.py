@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cuts of one narrowing step, and distinct values that are looked through one by one.
+CUTS, FEW = 256, 10_000
+
 
 def column_percentile(base: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row, `value`: at position floor(fraction * (n - 1)) of the n sorted non-null values; 0.0 if none.
 
-    Values are counted first; the running count over distinct values, not over rows, finds the
-    position, so the sort holds one row per value. NaN sorts last.
+    Values are counted first; a sketch of the distinct values gives cuts, exact counts between cuts
+    say where the position lies, until few distinct values are left there. NaN sorts last.
     """
     if not 0 <= fraction <= 1:
         raise ValueError("fraction is between 0 and 1")
@@ -19,15 +22,28 @@ def column_percentile(base: DataFrame, column: str, fraction: float) -> DataFram
     if not n:
         return base.sparkSession.createDataFrame([(0.0,)], "value double")
     place = int(fraction * (n - 1))
-    parts = values.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    sizes = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.sum("count").alias("n")).collect())
-    below = 0
-    for part, size in sizes:
-        if place < below + size:
+    values = values.where(~F.isnan("x"))
+    if place >= (values.agg(F.sum("count")).first()[0] or 0):
+        return base.sparkSession.createDataFrame([(float("nan"),)], "value double")
+    # the answer lies between bounds of a sketch that are narrowed by exact counts, never by partition numbers
+    low, high, below = None, None, 0
+    while True:
+        within = values if low is None else values.where(((F.col("x") > low) | F.lit(low == float("-inf"))) & (F.col("x") <= high))
+        distinct, most = within.agg(F.count("*"), F.max("x")).first()
+        if distinct <= FEW:
             break
-        below += size
-    from pyspark.sql import Window
-
-    run = F.sum("count").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    one = parts.where(F.col("part") == part).withColumn("upto", run + F.lit(below))
-    return one.where(F.col("upto") > place).orderBy("x").limit(1).select(F.col("x").alias("value"))
+        cuts = sorted(set(within.agg(F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 10 * CUTS)).first()[0]) | {most})
+        slot = F.element_at(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c >= F.col("x")), 1)
+        counts = {r["slot"]: r["n"] for r in within.groupBy(slot.alias("slot")).agg(F.sum("count").alias("n")).collect()}
+        floor = low if low is not None else float("-inf")
+        for cut in cuts:
+            if place < below + counts.get(cut, 0):
+                break
+            below, floor = below + counts.get(cut, 0), cut
+        if (floor, cut) == (low, high):
+            break
+        low, high = floor, cut
+    for x, count in within.orderBy("x").toLocalIterator():
+        if place < below + count:
+            return base.sparkSession.createDataFrame([(x,)], "value double")
+        below += count

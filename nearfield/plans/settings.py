@@ -12,7 +12,6 @@ RANGES = {
     "train_rows": (1, 1_000_000),
     "cost_scale": (1e-9, 1e9),
     "parallelism": (1, 1_000_000),
-    "broadcast_bytes": (0, 1 << 30),
 }
 STRATEGIES = ("auto", "exact", "sq8", "ivf", "ivf_sq8")
 PRECISIONS = ("sq8", "full")
@@ -21,10 +20,10 @@ PRECISIONS = ("sq8", "full")
 @dataclass(frozen=True)
 class Settings:
     """enable: off leaves only exact search. force_strategy: auto routes by cost. ef_search: the
-    candidate budget of approximate strategies. precision: what approximate scans compare.
+    candidate budget of approximate strategies. precision: full leaves strategies that compare 8-bit codes out of automatic choice.
     batch_max: queries served by one pass over the base. build_lists: inverted lists, 0 for the
     square root of the row count. train_rows: bound on the sample that centroids are fitted on.
-    cost_scale, parallelism: of the cost model. broadcast_bytes: most that a plan broadcasts."""
+    cost_scale, parallelism: of the cost model."""
 
     enable: bool = True
     force_strategy: str = "auto"
@@ -35,7 +34,6 @@ class Settings:
     train_rows: int = 50_000
     cost_scale: float = 1.0
     parallelism: int = 8
-    broadcast_bytes: int = 32 << 20
 
     def __post_init__(self):
         for name, (least, most) in RANGES.items():

@@ -22,10 +22,10 @@ from .operators import (
     truth,
 )
 from .operators.quantized import sq8_scale, sq8_table
-from .plans import Router, knn
+from .plans import Router, Settings, knn
 from .sources import VARIANTS, build_snapshot, capacity, items, open_snapshot
 from .sources.csv_vectors import dataset_manifest, read_vector_csv, write_vector_csv
-from .streaming import REQUEST_SCHEMA, answer_batch
+from .streaming import REQUEST_SCHEMA, serve
 from .workspace import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,12 +205,24 @@ def snapshot_null_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_snapshot_sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coded search of a snapshot; every row is reranked here, so the answer is the exact one."""
-    from .operators import quantized_top_k
-
+    """Coded search of a snapshot with the usual rerank budget."""
     _, snap = _snapshot(spark, sf_dir, ivf=False)
-    found = quantized_top_k(snap.table, snap.sq8, _query(spark, sf_dir), 10, where=CLASSES["Inclusion"], candidates=snap.rows)
-    return found.select("vec_id", F.round(F.sqrt("d2"), 6).alias("d"))
+    return _rounded(snap.knn().where(CLASSES["Inclusion"]).order_by_l2("embedding", _query(spark, sf_dir)).limit(10).strategy("sq8").result())
+
+
+def knn_ivf_sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded search of all lists of a snapshot, reranked: what knn_snapshot_sq8 has, by way of the lists."""
+    _, snap = _snapshot(spark, sf_dir)
+    search = snap.knn(router=Router(Settings(ef_search=64))).where(CLASSES["Inclusion"]).order_by_l2("embedding", _query(spark, sf_dir)).limit(10)
+    return _rounded(search.strategy("ivf_sq8", snap.ivf.lists).result())
+
+
+def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot's metadata tells, and what its rows have."""
+    _, snap = _snapshot(spark, sf_dir, "null_vector")
+    said = snap.accessors()
+    found = snap.table.agg(F.count("*").alias("stored"), F.max(F.size(said["vector"])).alias("stored_dim"))
+    return found.select(F.lit(said["rows"]).cast("bigint").alias("rows"), F.lit(said["dim"]).alias("dim"), F.lit(len(said["scalars"])).alias("scalars"), "stored", "stored_dim")
 
 
 def knn_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +237,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_ivf_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_ivf(items(spark, sf_dir))
+    index = build_ivf(items(spark, sf_dir), at=scratch(spark, "ivf"))
     return _ranked(ivf_knn_join(_asked(spark, sf_dir), index, 10, index.lists, where=CLASSES["Inclusion"]))
 
 
@@ -235,7 +247,7 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     Probes are calibrated on the query set itself, on 200 of its queries where it has more.
     """
     base, asked, where = items(spark, sf_dir), _asked(spark, sf_dir), CLASSES["Inclusion"]
-    index = build_ivf(base)
+    index = build_ivf(base, at=scratch(spark, "ivf"))
     sample = asked.orderBy(F.xxhash64("qid"), "qid").limit(200)
     gt = truth(sample, base, 10, where=where)
     probes = index.lists
@@ -266,10 +278,13 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set as one micro-batch of requests, one predicate per class."""
+    """The stated query set as a stream of requests from files, answered by micro-batches, one predicate per class."""
+    asked, to = scratch(spark, "requests"), scratch(spark, "answers")
     requests = _asked(spark, sf_dir).select("qid", "class", F.lit(10).alias("k"), F.col("qvec").cast("array<double>").alias("qvec"))
-    assert [f.name for f in requests.schema] == [c.split()[0] for c in REQUEST_SCHEMA.split(", ")]
-    return _ranked(answer_batch(requests, items(spark, sf_dir), CLASSES))
+    requests.repartition(2).write.parquet(asked)
+    stream = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", 1).parquet(asked)
+    serve(stream, lambda: items(spark, sf_dir), CLASSES, to, scratch(spark, "progress")).awaitTermination()
+    return _ranked(spark.read.parquet(to))
 
 
 _EXTRA: dict[str, Query] = {
@@ -279,7 +294,7 @@ _EXTRA: dict[str, Query] = {
     "predicate_violations": predicate_violations_query, "duplicate_ids": duplicate_ids_query, "col_percentile": col_percentile, "sq8_stats": sq8_stats,
     "capacity_basic": capacity_basic, "snapshot_count": snapshot_count, "snapshot_null_skip": snapshot_null_skip, "knn_snapshot_sq8": knn_snapshot_sq8,
     "knn_csv": knn_csv, "manifest": manifest, "knn_ivf_exhaustive": knn_ivf_exhaustive, "knn_ivf": knn_ivf, "knn_sq8_rerank": knn_sq8_rerank,
-    "feedback": feedback, "stream_knn": stream_knn,
+    "feedback": feedback, "stream_knn": stream_knn, "knn_ivf_sq8": knn_ivf_sq8, "accessors": accessors,
 }
 
 
@@ -319,6 +334,19 @@ def _batch_sql(where: str = "true") -> str:
     return f"WITH items AS ({VARIANTS['plain']}), {_ASKED}, {_join_sql(where)} SELECT qid, CAST(rank AS BIGINT) AS rank, vec_id, round(dist, 6) AS d FROM found WHERE rank <= 10"
 
 
+#: Codes, their distances, the 64 nearest by codes that match, and the ten nearest of those.
+_SQ8 = (
+    f"WITH items AS ({VARIANTS['plain']}), e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM items "
+    "WHERE embedding IS NOT NULL), s AS (SELECT pos, avg(x) AS mean, max(x) AS most, min(x) AS least FROM e GROUP BY pos), "
+    "w AS (SELECT max(greatest(most - mean, mean - least)) AS wide FROM s), z AS (SELECT CASE WHEN wide > 0 THEN wide ELSE 1 END / 127 AS scale FROM w), "
+    "c AS (SELECT vec_id, pos, greatest(-127, least(127, round_even((x - mean) / scale, 0))) AS code FROM e JOIN s USING (pos) CROSS JOIN z), "
+    f"far AS (SELECT a.vec_id, sum((a.code - b.code) * (a.code - b.code)) AS dq FROM c a JOIN c b ON a.pos = b.pos AND b.vec_id = {QUERY_ID} GROUP BY a.vec_id), "
+    f"near AS (SELECT vec_id FROM far JOIN items USING (vec_id) WHERE {CLASSES['Inclusion']} ORDER BY dq, vec_id LIMIT 64) "
+    f"SELECT i.vec_id, round({_D}, 6) AS d FROM near JOIN items i USING (vec_id) CROSS JOIN (SELECT embedding AS qv FROM embeddings WHERE vec_id = {QUERY_ID}) q "
+    f"ORDER BY {_D}, i.vec_id LIMIT 10"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     plain = VARIANTS["plain"]
     out = {name: _knn_sql(variant, where) for name, (variant, where) in SINGLE.items()}
@@ -327,7 +355,13 @@ def oracle_sql() -> dict[str, str]:
         "knn_offset": _knn_sql("plain", inclusion, "LIMIT 10 OFFSET 5"),
         "knn_live_table": _knn_sql("plain", inclusion, extra="int_attr <> 1"),
         "knn_query_frame": _knn_sql("plain", "(int_attr % 3) = 0", query=17),
-        "knn_snapshot_sq8": _knn_sql("plain", inclusion),
+        "knn_snapshot_sq8": _SQ8,
+        "knn_sq8_rerank": _SQ8,
+        "knn_ivf_sq8": _SQ8,
+        "accessors": (
+            f"WITH items AS ({VARIANTS['null_vector']}) SELECT count(*) AS rows, max(len(embedding))::INT AS dim, 3 AS scalars, count(*) AS stored, "
+            "max(len(embedding))::INT AS stored_dim FROM items WHERE embedding IS NOT NULL"
+        ),
         "knn_csv": _knn_sql("plain", inclusion),
         "knn_wide_join": (
             f"WITH items AS ({plain}) SELECT i.vec_id, round({_D}, 6) AS d, p.p_name FROM items i JOIN part p ON p.p_partkey = i.vec_id "

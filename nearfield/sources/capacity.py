@@ -29,7 +29,7 @@ def capacity(df: DataFrame, vector: str | None = None, id: str = "vec_id", links
         ("rows", str(n), flag(0 < n <= MOST_ROWS), f"at most {MOST_ROWS}"),
         ("null_vectors", str(nulls), "yes", "not indexed"),
         ("dim", str(dim), flag(0 < dim <= MOST_DIM), f"at most {MOST_DIM}"),
-        ("scalar_columns", str(c), "yes", "the first 32 are kept"),
+        ("scalar_columns", str(c), "yes", "the first 32 of numbers and flags are searchable; all columns are kept"),
         ("index_bytes", str(size), "yes", "vectors, scalars and links"),
         ("coded_bytes", str(coded), "yes", "8-bit codes with rerank rows"),
         ("peak_build_bytes", str(int(2.5 * size)), "yes", "2.5 times the index"),

@@ -25,5 +25,5 @@ VARIANTS = {
 
 def items(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
     """A variant over {sf_dir}/embeddings.parquet."""
-    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
-    return spark.sql(VARIANTS[variant])
+    # the table is passed by reference, so that no view of the session is replaced
+    return spark.sql(VARIANTS[variant].replace("FROM embeddings", "FROM {embeddings}"), embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ivf import IvfIndex, build_ivf
+from ..operators.ivf import IvfIndex, build_ivf, with_parts
 from ..operators.quantized import Sq8, sq8_scale, sq8_statistics, sq8_table
 from ..plans.settings import Settings
 
 FORMAT = 1
-#: Fixed value: scalar columns that a snapshot keeps, the first in table order.
+#: Fixed value: scalar columns of these types count as searchable, the first in table order.
 MOST_SCALARS = 32
 _SCALARS = (T.BooleanType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+#: Rows (without their vectors) that estimate a predicate's selectivity: those of smallest id hash.
+SAMPLE_ROWS = 10_000
 
 
 class _Files:
@@ -70,6 +72,7 @@ class Snapshot:
     table: DataFrame
     ivf: IvfIndex | None
     sq8: Sq8 | None
+    sample: DataFrame | None = None
 
     @property
     def rows(self) -> int:
@@ -92,8 +95,9 @@ class Snapshot:
         from ..plans.builder import knn
 
         coded = (self.table, self.sq8) if self.sq8 else None
-        columns = (self.meta["id"], self.meta["vector"], *self.scalars)
-        return knn(self.table, self.meta["id"]).returning(*columns).using(coded=coded, ivf=self.ivf, name=f"{self.root}@{self.version}", **options)
+        columns = (self.meta["id"], self.meta["vector"], *self.scalars, *self.meta["others"])
+        offered = knn(self.table, self.meta["id"]).returning(*columns)
+        return offered.using(coded=coded, ivf=self.ivf, name=f"{self.root}@{self.version}", rows=self.rows, sample=self.sample, **options)
 
 
 def choose_columns(df: DataFrame, vector: str | None, id: str) -> tuple[str, list[str]]:
@@ -112,19 +116,24 @@ def choose_columns(df: DataFrame, vector: str | None, id: str) -> tuple[str, lis
 def build_snapshot(df: DataFrame, root: str, vector: str | None = None, id: str = "vec_id", settings: Settings | None = None, cluster_by: str | None = None, ivf: bool = True, sq8: bool = True) -> int:
     """Builds the next version and makes it current; returns the number of rows indexed.
 
-    Rows with a null vector are skipped. No vector column, no row, or unequal dimensions are
+    Rows with a null vector are skipped; every column of the table is kept. No vector column, no row, or unequal dimensions are
     errors, and then nothing becomes current. cluster_by sorts rows by a scalar column, so that
     ranges of it prune row groups.
     """
     spark, settings = df.sparkSession, settings or Settings()
     vector, scalars = choose_columns(df, vector, id)
-    rows = df.select(id, vector, *scalars).where(F.col(vector).isNotNull())
+    others = [c for c in df.columns if c not in (id, vector, *scalars)]
+    taken = sorted({"codes", "norm", "list_id", "list_part"} & set(df.columns))
+    if taken:
+        raise ValueError(f"column {taken[0]} has a name that snapshots use")
+    rows = df.select(id, vector, *scalars, *others).where(F.col(vector).isNotNull())
     n, least, most = rows.agg(F.count("*"), F.min(F.size(vector)), F.max(F.size(vector))).first()
     if not n:
         raise ValueError("there is no row to index")
     if least != most:
         raise ValueError(f"different vector dimensions: {least} and {most}")
-    meta = {"format": FORMAT, "rows": n, "dim": most, "vector": vector, "id": id, "scalars": scalars, "built": uuid.uuid4().hex}
+    meta = {"format": FORMAT, "rows": n, "dim": most, "vector": vector, "id": id, "scalars": scalars, "others": others, "built": uuid.uuid4().hex}
+    sample = rows.drop(vector).orderBy(F.xxhash64(id), id).limit(SAMPLE_ROWS).coalesce(1)
     if sq8:
         stats = sq8_scale(sq8_statistics(rows, vector))
         rows = sq8_table(rows, stats, vector)
@@ -133,11 +142,15 @@ def build_snapshot(df: DataFrame, root: str, vector: str | None = None, id: str
     out = index.table if ivf else rows
     if ivf:
         meta["centroids"] = index.centroids.tolist()
-    order = [*["list_id"] * ivf, *[cluster_by] * bool(cluster_by)]
-    if order:
+    if ivf:
+        out = with_parts(out, index.lists)
+    if cluster_by:
+        order = [*["list_part", "list_id"] * ivf, cluster_by]
         out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     version = f"v{uuid.uuid4().hex}"
-    out.write.parquet(f"{root.rstrip('/')}/{version}/rows")
+    at = f"{root.rstrip('/')}/{version}"
+    (out.write.partitionBy("list_part") if ivf else out.write).parquet(f"{at}/rows")
+    sample.write.parquet(f"{at}/sample")
     files = _Files(spark, root)
     files.write(f"{version}/meta.json", json.dumps(meta))
     files.write("CURRENT", version)
@@ -155,9 +168,9 @@ def open_snapshot(spark: SparkSession, root: str, version: str | None = None) ->
     if meta["format"] != FORMAT:
         raise ValueError(f"snapshot format {meta['format']}, expected {FORMAT}")
     table = spark.read.parquet(f"{root.rstrip('/')}/{version}/rows")
-    missing = {meta["id"], meta["vector"], *meta["scalars"]} - set(table.columns)
+    missing = {meta["id"], meta["vector"], *meta["scalars"], *meta["others"]} - set(table.columns)
     if missing:
         raise ValueError(f"the snapshot lacks {sorted(missing)[0]}")
     sq8 = Sq8(tuple(meta["sq8"]["mean"]), meta["sq8"]["scale"]) if "sq8" in meta else None
     ivf = IvfIndex(table, np.array(meta["centroids"]), meta["vector"], meta["id"]) if "centroids" in meta else None
-    return Snapshot(root, version, meta, table, ivf, sq8)
+    return Snapshot(root, version, meta, table, ivf, sq8, spark.read.parquet(f"{root.rstrip('/')}/{version}/sample"))

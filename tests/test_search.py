@@ -14,8 +14,8 @@ from nearfield.operators import (
     audit, build_ivf, calibrate, column_percentile, ivf_knn_join, ivf_top_k, knn_join, knn_join_by_class, quantized_top_k, recall_by_class, sq8_statistics,
 )
 from nearfield.operators.quantized import sq8_scale, sq8_table
-from nearfield.plans import Feedback, Router, Settings, knn
-from nearfield.plans.router import BUCKETS, bucket, ewma
+from nearfield.plans import Router, Settings, knn
+from nearfield.plans.router import Run, Shape, bucket
 from nearfield.sources import build_snapshot, capacity, items, open_snapshot, read_vector_csv, write_vector_csv
 from nearfield.streaming import REQUEST_SCHEMA, answer_batch, serve
 
@@ -230,24 +230,40 @@ def test_settings_and_session(spark):
         spark.conf.unset("nearfield.ef_search")
 
 
-def test_router_formulas():
+def test_router_prices_and_corrections():
     assert [bucket(s) for s in (1.0, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.0001)] == [0, 0, 1, 1, 2, 2, 3, 3, 4]
-    assert len(BUCKETS) == 5
-    assert ewma(None, 8.0) == 8.0 and ewma(8.0, 4.0) == 7.0 and ewma(8.0, 40.0) == 9.0
-    f = Feedback()
-    f.record("t", "sq8", "exact", 0.5, 10)
+    every, small, large = ("exact", "sq8", "ivf", "ivf_sq8"), Shape(1000, 64, 10), Shape(1e10, 64, 10, 0.5, 1, 10**5, 10**4)
+    r = Router()
+    assert r.choose("t", every, small) == "exact" and r.choose("t", every, large) == "ivf_sq8"
+    assert Router(Settings(precision="full")).choose("t", every, large) == "ivf"
+    assert Router(Settings(enable=False)).choose("t", every, large) == "exact"
+    assert Router(Settings(force_strategy="sq8")).choose("t", ("exact",), small) == "exact"
+    assert r.price("t", "exact", large, 4) == pytest.approx(4 * r.price("t", "exact", large))
+    f = r.feedback
+    f.record("t", "sq8", "exact", Run(0.5, 10, 10, 1))
     assert not f.seen
-    f.record("t", "exact", "exact", 0.5, 10)
-    assert f.nearest("t", "exact", 4) == (0, 10, 1.0) and f.nearest("t", "ivf", 0) is None
-    r = Router(feedback=f)
-    assert r.price("t", "exact", 1e6, 64, 10, 0.5) == pytest.approx(10 if 10 > r.prior("exact", 1e6, 64, 10, 0.5) / 8 else r.prior("exact", 1e6, 64, 10, 0.5) / 8)
-    big = Router()
-    assert big.choose("t", ("exact", "ivf"), 1000, 64, 10) == "exact"
-    assert big.choose("t", ("exact", "ivf"), 1e12, 64, 10, 0.5) == "ivf"
-    assert Router(Settings(enable=False)).choose("t", ("exact", "ivf"), 1e12, 64, 10) == "exact"
-    assert Router(Settings(force_strategy="sq8")).choose("t", ("exact",), 1, 64, 10) == "exact"
-    load = lambda active: big.price("t", "exact", 1e6, 64, 10, 1.0, active)
-    assert load(4) == pytest.approx(4 * load(1))
+    before = r.price("t", "exact", small)
+    for _ in range(60):
+        f.record("t", "exact", "exact", Run(1.0, 100, 800, 1))
+    assert 5 * before < r.price("t", "exact", small) < 8 * before
+    near, far = (f.correction("t", "exact", s) for s in (0.9, 0.001))
+    assert near > far > 1 and f.correction("u", "exact", 1.0) == 1
+
+
+def test_auto_routing_uses_the_snapshots_own_figures(spark, tmp_path):
+    root = f"file://{tmp_path}/snap"
+    build_snapshot(items(spark, SF).withColumn("note", F.lit("text")), root)
+    snap = open_snapshot(spark, root)
+    search = snap.knn().where("int_attr = 0").order_by_l2("embedding", core._query(spark, SF)).limit(5)
+    info = search.explain_info()
+    share = snap.table.where("int_attr = 0").count() / snap.rows
+    assert info["rows"] == snap.rows and abs(info["selectivity"] - share) < 0.01 and set(info["prices_ms"]) == {"exact", "sq8", "ivf", "ivf_sq8"}
+    assert search.result().first()["note"] == "text" and search.counters() == {"rows": snap.rows, "matches": round(share * snap.rows), "live_skips": 0}
+    assert knn(items(spark, SF)).order_by_l2("embedding", core._query(spark, SF)).limit(5).strategy("ivf_sq8").explain_info()["fallback"]
+    plan = snap.ivf.probed(core._query(spark, SF), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_part" in plan.replace("PartitionFilters: [isnotnull(list_part", "PartitionFilters: [list_part") and "list_id" in plan.split("PushedFilters:")[1]
+    rows, _ = search.strategy("auto").measured()
+    assert len(rows) == 5 and sum(len(v) for v in search.router.feedback.seen.values()) == 1
 
 
 def test_snapshot_versions(spark, tmp_path):
@@ -325,3 +341,16 @@ def test_audit_finds_what_is_wrong():
     assert audit([*good[:2], event(2, errors=1)], summary)
     assert audit([*good[:2], event(2, ids={1: [1, 1]})], summary)
     assert audit([*good[:2], event(2, seconds=9.0)], summary) == []
+
+
+def test_percentile_narrows_many_values(spark, monkeypatch):
+    from nearfield.operators import percentile
+
+    monkeypatch.setattr(percentile, "FEW", 5)
+    monkeypatch.setattr(percentile, "CUTS", 4)
+    rng = np.random.default_rng(3)
+    x = [*rng.normal(0, 100, 300).round(1).tolist(), *[7.0] * 200, float("inf"), float("-inf"), float("nan"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in x], "x double").repartition(5)
+    order = [*sorted(v for v in x[:-1] if v == v), float("nan"), float("nan")]
+    for f in (0.0, 0.1, 0.5, 0.77, 0.99, 1.0):
+        assert repr(column_percentile(df, "x", f).first()[0]) == repr(order[int(f * (len(order) - 1))])
