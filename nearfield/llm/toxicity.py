@@ -294,7 +294,8 @@ def telling_features(texts: DataFrame, n: dict[int, int], least_odds: float, lea
 def labelled_chains(texts: DataFrame, odds: dict[str, float], strong: float) -> tuple[list[str], Labelled, np.ndarray]:
     """(features, chains of the texts with labelled tokens, labels of the texts).
 
-    texts: text, toxic. A token of a toxic text is labelled toxic if a feature's log odds are at least `strong`.
+    texts: text, toxic, place (their order here, so that a fit can be repeated). A token of a toxic
+    text is labelled toxic if a feature's log odds are at least `strong`.
     """
     names = sorted(odds)
     known = sent(texts.sparkSession, ({f: i for i, f in enumerate(names)}, [odds[f] >= strong for f in names]))
@@ -303,7 +304,7 @@ def labelled_chains(texts: DataFrame, odds: dict[str, float], strong: float) ->
         number, is_strong = received(known)
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens, at, own, gold = text.split(), [], [], []
                 met = {w: fs for w in set(tokens) if (fs := [number[f] for f in features(w) if f in number])}
                 for i, w in enumerate(tokens):
@@ -311,13 +312,13 @@ def labelled_chains(texts: DataFrame, odds: dict[str, float], strong: float) ->
                         at.append(i)
                         own.append(met[w])
                         gold.append(int(toxic == 1 and any(is_strong[f] for f in met[w])))
-                rows.append((toxic, len(tokens), at, gold, list(map(len, own)), [f for fs in own for f in fs]))
-            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["toxic", "length", "at", "gold", "n", "features"])
+                rows.append((place, toxic, len(tokens), at, gold, list(map(len, own)), [f for fs in own for f in fs]))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["place", "toxic", "length", "at", "gold", "n", "features"])
 
-    kind = "toxic int, length bigint, at array<bigint>, gold array<bigint>, n array<bigint>, features array<bigint>"
-    table = texts.select("text", "toxic").mapInArrow(run, kind).toArrow().combine_chunks()
-    order = np.lexsort((table["length"].to_numpy(), table["toxic"].to_numpy()))
+    kind = "place bigint, toxic int, length bigint, at array<bigint>, gold array<bigint>, n array<bigint>, features array<bigint>"
+    table = texts.select("text", "toxic", "place").mapInArrow(run, kind).toArrow().combine_chunks()
+    order = np.argsort(table["place"].to_numpy(), kind="stable")
     table = table.take(pa.array(order)).combine_chunks()
     flat = {c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "gold", "n", "features")}
     counts = np.array([len(x) for x in table["at"].to_pylist()], np.int64)
@@ -358,7 +359,7 @@ def fit_toxicity(
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [marks.where(F.col("toxic") == c).orderBy(*order).limit(most_rows) for c in (0, 1)]
     source = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string")).where("text IS NOT NULL")
-    texts = staged(source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic"), "labelled")
+    texts = staged(source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic", F.xxhash64("doc_id", "text").alias("place")), "labelled")
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not all(n.values()):
         return Field({}, -6.0, np.log(np.array([[0.95, 0.05], [0.5, 0.5]])), _constant(prior))

@@ -371,7 +371,40 @@ def test_page_text_by_markup():
     assert [x.text for x in page_lines("1 < 2 <p title='>'>b</p>")] == ["1 < 2", "b"]
 
 
-def test_shared_lines_is_a_longest_common_subsequence():
+def test_broken_markup_neither_leaks_nor_costs_more_than_its_length():
+    import time
+
+    text = lambda source: [x.text for x in page_lines(source)]
+    assert text('<p>one</p><a title="x>two</a>') == ["one", "two"] and text("<p>a<a title='it' b=\"x'>y\">z</a>") == ["az"]
+    assert text("<p>a</p><b") == ["a"] and text("<p>a<!-- b") == ["a"] and text("x</script y><p>b") == ["x", "b"] and text("<script>a</script") == []
+    for part in ('<a "x \'', "<a '", '<p "x>', "<div>", "</p <", "<!-- ", "<script>", "</script ", "<td>", "<div><option></option></p>"):
+        began = time.perf_counter()
+        page_lines(part * (400_000 // len(part)))
+        assert time.perf_counter() - began < 8
+
+
+def test_a_long_page_is_aligned_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = [f"line {rng.randrange(4000)}" for _ in range(12_000)]
+    b = [x for x in a if rng.random() < 0.9] + ["end"]
+    whole = shared_lines(a, b)
+    monkeypatch.setattr(html_text, "ALIGNED", 1 << 20)
+    tracemalloc.start()
+    found = shared_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(whole) == len(b) - 1 and peak < 20 << 20
+    it = iter(b)
+    assert all(a[i] in it for i in found)
+    source = "".join(f"<div>line {i} of a page of ten megabytes, and so on</div>" for i in range(180_000))
+    assert len(source) > 10 << 20 and len(page_lines(source)) == 180_000
+
+
+@pytest.mark.parametrize("aligned", [1 << 26, 1, 20])
+def test_shared_lines_is_a_longest_common_subsequence(monkeypatch, aligned):
+    monkeypatch.setattr(html_text, "ALIGNED", aligned)
     rng = random.Random(0)
     for _ in range(300):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
@@ -385,18 +418,51 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert all(a[i] in it for i in found)
 
 
+def plain_pages(rows):
+    """Pages sorted by host, path, id and source, differenced with the nearer of both neighbours on the host."""
+    order = []
+    for i, url, source in rows:
+        host, path = split_url(url)
+        order.append(((host, host + path, i is not None, i or 0), i, url, page_lines(source or ""), host, host + path))
+    order.sort(key=lambda x: x[0])
+    out = []
+    for n, (_, i, url, lines, host, path) in enumerate(order):
+        near = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][4] == host]
+        same = lambda x, path=path: next((k for k, (a, b) in enumerate(zip(x[5], path, strict=False)) if a != b), min(len(x[5]), len(path)))
+        near.sort(key=lambda x: -same(x))
+        shared = set()
+        for other in near:
+            found = shared_lines([x.text for x in lines], [x.text for x in other[3]])
+            full = max(sum(len(x.text) for x in p if not x.never) for p in (lines, other[3]))
+            if sum(len(lines[k].text) for k in found if not lines[k].never) < 0.9 * full:
+                shared = set(found)
+                break
+        main = [x.text for x in lines if x.main and not x.never]
+        out.append((i, url, "\n".join(main or [x.text for k, x in enumerate(lines) if not x.never and k not in shared])))
+    return sorted(out, key=str)
+
+
 def test_pages_are_differenced_within_their_host(spark):
-    page = lambda i: f"<div>Template top</div><div>Own words of page {i} that are long enough to count</div><div>Template end</div>"
-    rows = [(i, f"http://h{i % 2}.org/a/{i:02}?q=1", page(i)) for i in range(8)]
-    rows += [(50, None, None), (51, "no host", ""), (52, "http://lone.org/", page(52)), (3, rows[3][1], page(3)), (None, "http://n.org/x", PAGE)]
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, host string, path string")
-    got = extract_pages(df.coalesce(1)).collect()
-    assert len(got) == len(rows)
-    by = {r["page_id"]: r for r in got}
-    edges = [i for i in range(8) if by[i]["text"] != f"Own words of page {i} that are long enough to count"]
-    assert len(edges) <= 3  # a page at the edge of a range may stand alone there
-    assert by[50]["text"] == by[51]["text"] == "" and by[50]["url"] is None
-    assert by[52]["text"].startswith("Template top\n") and by[52]["n_shared"] == 0
+    """Whole pages against a plain version, at several numbers of partitions."""
+    rng = random.Random(7)
+    pages = []
+    for i in range(90):
+        own = "".join(f"<div>{words(rng, rng.randrange(4, 30), 3000)}</div>" for _ in range(rng.randrange(1, 5)))
+        pages.append((i, f"http://h{i % 3}.org/{'ab'[i % 2]}/{i:02}?q=1", f"<div>Template top of site {i % 3}, longer than the text of some of its pages, much longer indeed</div><nav>Menu {i}</nav>{own}<div>Template end</div>"))
+    pages += [(200 + i, f"http://h0.org/a/{i:02}x", pages[4][2]) for i in range(3)] + [(50, None, None), (51, "no host", ""), (52, "http://lone.org/", pages[9][2]), (None, "http://n.org/x", PAGE)]
+    pages += [(300, "http://far.org/a", "<div>one</div><div>two of them</div>"), (301, "http://far.org/b", "<div>one</div><div>another thing</div>")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in pages], "page_id bigint, url string, html string, host string, path string")
+    want = plain_pages(pages)
+    assert ("two of them" in [t for _, _, t in want]) and sum("Template" in t for _, _, t in want) < 8
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = extract_pages(df.repartition(3)).collect()
+            assert sorted(((r["page_id"], r["url"], r["text"]) for r in got), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(extract_pages(df.union(df)).collect()) == 2 * len(pages)
     assert extract_pages(df.where("page_id = -1")).count() == 0
 
 
