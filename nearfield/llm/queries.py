@@ -148,5 +148,60 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+windows AS (
+  SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM words
+), marked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM windows WHERE len(win) = 20
+), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM marked WHERE again),
+judged AS (SELECT a.doc_id, a.word, a.p, g.p IS NOT NULL AS gone FROM words a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p)
+SELECT d.doc_id, count(j.p) AS n_words, coalesce(sum(j.gone::BIGINT), 0)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.p) FILTER (NOT j.gone), '')) AS kept_sha256
+FROM d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
+"""
+
+# a table of at most two windows of vectors is compared whole; the fixtures' are
+_OP7_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(k.least, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(k.least, v.vec_id)) AS kept
+FROM embeddings v LEFT JOIN counts c ON c.a = v.vec_id LEFT JOIN components k ON k.a = v.vec_id
+"""
+
+_OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), items AS (
+  SELECT DISTINCT item, w[s : s + least(10, len(w)) - 1] AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+ahead AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS win FROM words),
+sizes AS (SELECT DISTINCT len(win) AS m FROM items),
+starts AS (SELECT a.doc_id, a.p, s.m, a.win[1 : s.m] AS win FROM ahead a JOIN sizes s ON len(a.win) >= s.m),
+found AS (SELECT t.doc_id, t.p, t.m, i.item FROM starts t JOIN items i ON t.win = i.win),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) FROM found) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(met.n, 0) AS n_items, sha256(coalesce(met.items, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL, "op8_url_filter": _OP8_SQL}
+    return {
+        "op2_line_dedup": _OP2_SQL, "op6_substring_dedup": _OP6_SQL, "op7_embedding_dedup": _OP7_SQL, "op8_url_filter": _OP8_SQL,
+        "op10_decontamination": _OP10_SQL,
+    }

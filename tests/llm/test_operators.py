@@ -183,7 +183,7 @@ def test_boilerplate_by_estimate_alone_and_extreme_ids(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
