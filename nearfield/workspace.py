@@ -1,4 +1,4 @@
-"""Scratch folders of registered queries."""
+"""The folder that driver and executors share, and scratch folders in it."""
 
 from __future__ import annotations
 
@@ -12,19 +12,24 @@ from pyspark.sql import SparkSession
 _local: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where that is unset a local session gets a temporary folder; any other session is refused.
+    Where it is unset, a local session gets a temporary folder; any other session is refused,
+    because a machine-local folder is not seen by other executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or "local-cluster" in master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="nearfield-")
-            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-        found = f"file://{_local[app]}"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return f"file://{_local[app]}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
