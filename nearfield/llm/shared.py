@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import gc
 import pickle
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,31 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import shared_dir
+
 #: Bytes of text that one vectorised step looks at; longer texts are cut at a separator.
 SLICE_BYTES = 1 << 20
 
-_local_dirs: dict[str, str] = {}
 _stage_paths: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder; any other session is refused,
-    because a machine-local folder is not seen by other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="nearfield-")
-        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
-    return f"file://{_local_dirs[app]}"
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new place for a stage table; what is left of it goes when this Python process ends."""
     if not _stage_paths:
