@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import pickle
+import time
 import uuid
 
 import numpy as np
@@ -71,10 +72,14 @@ def dropped(*tables: DataFrame) -> None:
     released(tables[0].sparkSession)
 
 
-def released(spark: SparkSession) -> None:
-    """Spark deletes shuffle files once their plans are collected; a finished level asks for that."""
+def released(spark: SparkSession, seconds: float = 0.0) -> None:
+    """Spark deletes shuffle files once their plans are collected; a finished level asks for that.
+
+    seconds: to leave the cleaner, which works beside the driver, before a step that writes much.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(seconds)
 
 
 def sent(spark: SparkSession, value) -> Broadcast:

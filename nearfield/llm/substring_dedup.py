@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, dropped, only, same, sliding, staged, window_hashes, word_slices, words_left
+from .shared import Words, dropped, only, released, same, sliding, staged, window_hashes, word_slices, words_left
 
 #: Space and \x09-\x0D separate words, as bytes.split() has it.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -158,11 +158,13 @@ def remove_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col
             kept = kept.join(copies, same(kept, copies, "doc_id", "seq"), "left_anti")
         old, survivors = survivors, staged(kept, f"survivors-{length}")
         dropped(found, repeated, *([old] if old is not None else []))
+        released(docs.sparkSession, 1.0)
         if survivors.isEmpty():
             break
     starts = survivors.select("doc_id", "seq", F.lit(False).alias("copy"), "pos")
     marks = staged(copies.select("doc_id", "seq", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("pos")).unionByName(starts), "marks")
     dropped(copies, survivors)
+    released(docs.sparkSession, 1.0)  # the texts are dealt out once more
 
     def run(batches):
         for batch in batches:
