@@ -56,6 +56,13 @@ def calibrate(run: Callable[[int], DataFrame], knobs: Iterable[int], truth: Data
     return out
 
 
+def confirm(run: Callable[[], DataFrame], truth: DataFrame, queries: DataFrame, floor: float = 0.9, class_col: str = "class") -> dict:
+    """Holds a calibrated knob, now frozen, to queries it wasn't chosen on: recall by class, and
+    whether every class reaches the floor. No query confirms nothing."""
+    by_class = {r[class_col]: r["recall"] for r in recall_by_class(truth, run(), queries, class_col).collect()}
+    return {"recall": by_class, "confirmed": min(by_class.values(), default=0.0) >= floor}
+
+
 def throughput(run: Callable[[], DataFrame], queries: int, rounds: int = 3, warm: int = 1) -> dict:
     """Queries a second over whole batches (no-op sink): median of rounds, and times by percentile."""
     times = []

@@ -12,7 +12,10 @@ from .operators import (
     build_ivf,
     calibrate,
     column_percentile,
+    confirm,
     duplicate_ids,
+    half_table,
+    half_top_k,
     ivf_knn_join,
     knn_join,
     knn_join_by_class,
@@ -244,16 +247,19 @@ def knn_ivf_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As few lists, by eighths, as give every class a recall of 0.9 against truth; all if need be.
 
-    Probes are calibrated on the query set itself, on 200 of its queries where it has more.
+    Probes are calibrated on one half of at most 200 of the queries and hold only if the other half confirms them.
     """
     base, asked, where = items(spark, sf_dir), _asked(spark, sf_dir), CLASSES["Inclusion"]
     index = build_ivf(base, at=scratch(spark, "ivf"))
     sample = asked.orderBy(F.xxhash64("qid"), "qid").limit(200)
-    gt = truth(sample, base, 10, where=where)
+    odd = F.floor(F.col("qid") / 100) % 2 == 1
+    chosen, other = sample.where(~odd), sample.where(odd)
+    gt, unseen = (truth(x, base, 10, where=where) for x in (chosen, other))
     probes = index.lists
     for eighths in range(4, 8):
         n = max(1, index.lists * eighths // 8)
-        if calibrate(lambda n: ivf_knn_join(sample, index, 10, n, where=where), (n,), gt, sample)[0]["eligible"]:
+        search = lambda n, of=chosen: ivf_knn_join(of, index, 10, n, where=where)
+        if calibrate(search, (n,), gt, chosen)[0]["eligible"] and confirm(lambda: search(n, other), unseen, other)["confirmed"]:
             probes = n
             break
     return _ranked(ivf_knn_join(asked, index, 10, probes, where=where))
@@ -269,6 +275,12 @@ def knn_sq8_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized_top_k(coded, sq8, _query(spark, sf_dir), 10, where=CLASSES["Inclusion"]).select("vec_id", F.round(F.sqrt("d2"), 6).alias("d"))
 
 
+def knn_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked by 16-bit floats alone."""
+    stored = half_table(items(spark, sf_dir, "null_vector"))
+    return half_top_k(stored, _query(spark, sf_dir), 10, vector=None, where=CLASSES["Inclusion"]).select("vec_id", F.round(F.sqrt("d2"), 6).alias("d"))
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The router's observations after one measured search of each class."""
     router, base = Router(), items(spark, sf_dir)
@@ -294,7 +306,7 @@ _EXTRA: dict[str, Query] = {
     "predicate_violations": predicate_violations_query, "duplicate_ids": duplicate_ids_query, "col_percentile": col_percentile, "sq8_stats": sq8_stats,
     "capacity_basic": capacity_basic, "snapshot_count": snapshot_count, "snapshot_null_skip": snapshot_null_skip, "knn_snapshot_sq8": knn_snapshot_sq8,
     "knn_csv": knn_csv, "manifest": manifest, "knn_ivf_exhaustive": knn_ivf_exhaustive, "knn_ivf": knn_ivf, "knn_sq8_rerank": knn_sq8_rerank,
-    "feedback": feedback, "stream_knn": stream_knn, "knn_ivf_sq8": knn_ivf_sq8, "accessors": accessors,
+    "feedback": feedback, "stream_knn": stream_knn, "knn_ivf_sq8": knn_ivf_sq8, "knn_half": knn_half, "accessors": accessors,
 }
 
 
@@ -347,6 +359,15 @@ _SQ8 = (
 )
 
 
+#: Components rounded to eleven bits of precision, in steps of 2^-24 at least.
+_HALF = (
+    f"WITH items AS ({VARIANTS['null_vector']}), r AS (SELECT * REPLACE (list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 "
+    "ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) AS embedding) FROM items) "
+    f"SELECT i.vec_id, round({_D}, 6) AS d FROM r i CROSS JOIN (SELECT embedding AS qv FROM embeddings WHERE vec_id = {QUERY_ID}) q "
+    f"WHERE i.embedding IS NOT NULL AND {CLASSES['Inclusion']} ORDER BY {_D}, i.vec_id LIMIT 10"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     plain = VARIANTS["plain"]
     out = {name: _knn_sql(variant, where) for name, (variant, where) in SINGLE.items()}
@@ -358,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_snapshot_sq8": _SQ8,
         "knn_sq8_rerank": _SQ8,
         "knn_ivf_sq8": _SQ8,
+        "knn_half": _HALF,
         "accessors": (
             f"WITH items AS ({VARIANTS['null_vector']}) SELECT count(*) AS rows, max(len(embedding))::INT AS dim, 3 AS scalars, count(*) AS stored, "
             "max(len(embedding))::INT AS stored_dim FROM items WHERE embedding IS NOT NULL"

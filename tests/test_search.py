@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nearfield import queries as core
 from nearfield.functions import l2, percentile_index, recall, sq8_distance, sq8_encode
 from nearfield.operators import (
-    audit, build_ivf, calibrate, column_percentile, ivf_knn_join, ivf_top_k, knn_join, knn_join_by_class, quantized_top_k, recall_by_class, sq8_statistics,
+    audit, build_ivf, calibrate, column_percentile, confirm, half_table, half_top_k, ivf_knn_join, ivf_top_k, knn_join, knn_join_by_class, quantized_top_k, recall_by_class, sq8_statistics,
 )
 from nearfield.operators.quantized import sq8_scale, sq8_table
 from nearfield.plans import Router, Settings, knn
@@ -191,6 +191,11 @@ def test_calibration_freezes_an_eligible_knob(spark):
     gt = knn_join(asked, base, 10).cache()
     found = calibrate(lambda n: ivf_knn_join(asked, index, 10, n), (1, index.lists), gt, asked)
     assert [x["eligible"] for x in found] == [False, True] and found[1]["chosen"]
+    unseen = held_out(spark, 48).where("qid >= 24")
+    right = knn_join(unseen, base, 10)
+    assert confirm(lambda: ivf_knn_join(unseen, index, 10, index.lists), right, unseen)["confirmed"]
+    assert not confirm(lambda: ivf_knn_join(unseen, index, 10, 1), right, unseen)["confirmed"]
+    assert not confirm(lambda: right, right, unseen.limit(0))["confirmed"]
 
 
 def test_sq8(spark):
@@ -219,6 +224,29 @@ def test_sq8(spark):
     assert spark.createDataFrame([([0.5],)], "v array<double>").select(sq8_encode(F.col("v"), [0.0], 1.0)).first()[0] == [0]
 
 
+def test_halves(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(7).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(300, [1e-7, -6e-8, 3e-5, 65519.0, 1e30, -1e30, 0.0]), (301, rows[4][1]), (302, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    stored = half_table(df).cache()
+    x = np.array([v for _, v in rows[:-1]], np.float32)
+    halves = np.clip(x, -65504, 65504).astype(np.float16)
+    got = {r[0]: r[1] for r in stored.select("vec_id", "halves").collect()}
+    assert got.pop(302) is None and [bytes(got[i]) for i in range(302)] == [h.tobytes() for h in halves]
+    q = rows[4][1]
+    d = ((halves.astype(np.float64) - np.array(q)) ** 2).sum(1)
+    order = sorted(range(302), key=lambda i: (d[i], i))
+    near = half_top_k(stored, q, 9, vector=None, where="vec_id <> 4").collect()
+    assert [r["vec_id"] for r in near] == [i for i in order if i != 4][:9] and [r["d2"] for r in near] == [d[i] for i in order if i != 4][:9]
+    exact = [r["vec_id"] for r in knn(df).order_by_l2("embedding", q).limit(9).result().collect()]
+    assert [r["vec_id"] for r in half_top_k(stored, q, 9).collect()] == exact and exact[:2] == [4, 301]
+    assert half_top_k(stored.where("vec_id = 302"), q, 9).count() == half_top_k(stored.limit(0), q, 9).count() == 0
+    assert "TakeOrderedAndProject" in half_top_k(stored, q, 9)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="different vector dimensions"):
+        half_top_k(stored, q[:5], 9).collect()
+
+
 def test_settings_and_session(spark):
     for bad in ({"ef_search": 9}, {"batch_max": 0}, {"force_strategy": "hnsw"}, {"precision": "fp8"}, {"train_rows": 0}):
         with pytest.raises(ValueError):
