@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import checked_query, l2_squared
+from ..functions.vectors import checked_query
+from .batch import BLOCK_BYTES, BLOCK_QUERIES, _first_k, _partial, _query_blocks
 from .exact import filtered_top_k
 
 #: Most directories of a stored index; each holds a range of lists.
@@ -82,16 +83,31 @@ def _assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sample(rows: DataFrame, vector: str, id: str, n: int, most: int) -> np.ndarray:
+    """The vectors of at most `most` of n rows, those of smallest id hash.
+
+    Only rows whose hash can be among them reach the ranking: else each partition would send its
+    first `most` rows to the driver.
+    """
+    hashed = rows.select(F.xxhash64(id).alias("h"), F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    first = lambda some: some.orderBy("h", "i").limit(most).collect()
+    share = (most + 8 * math.sqrt(most)) / n
+    found = first(hashed.where(F.col("h") < int((2 * share - 1) * 2**63))) if share < 1 else []
+    if len(found) < min(most, n):  # ids that repeat, or few rows
+        found = first(hashed)
+    return np.array([r["v"] for r in found])
+
+
 def build_ivf(base: DataFrame, vector: str = "embedding", id: str = "vec_id", lists: int = 0, train_rows: int = 50_000, seed: int = 17, at: str | None = None) -> IvfIndex:
     """Files every non-null vector; centroids are fitted on at most train_rows rows, those of
     smallest id hash. lists: 0 for the square root of the row count. at: a folder to store the index
     in; without it every use files the base anew."""
     rows = base.where(F.col(vector).isNotNull())
-    sample = rows.select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(id), F.col(id)).limit(train_rows).collect()
-    if not sample:
+    n = rows.count()
+    if not n:
         raise ValueError("there is no vector")
-    lists = lists or max(1, round(math.sqrt(rows.count())))
-    centroids = train_centroids(np.array([r[0] for r in sample]), lists, seed=seed)
+    lists = lists or max(1, round(math.sqrt(n)))
+    centroids = train_centroids(_sample(rows, vector, id, n, train_rows), lists, seed=seed)
 
     def file(batches):
         for batch in batches:
@@ -132,40 +148,56 @@ def ivf_top_k(index: IvfIndex, query: Sequence[float], k: int, probes: int, wher
 
 
 def ivf_knn_join(queries: DataFrame, index: IvfIndex, k: int, probes: int, qid: str = "qid", query_vector: str = "qvec", where: Column | str | None = None) -> DataFrame:
-    """(qid, rank, id, d2) among each query's probed lists: an equi-join on list_id, then a ranking.
+    """(qid, rank, id, d2) among each query's probed lists.
 
     A query whose lists hold fewer than k matching rows doubles its probes, up to all lists; the
-    matching rows of each list are counted first. A long list is split by adaptive execution; ranks
-    are limited before their shuffle.
+    matching rows of each list are counted first. Queries go out in blocks of bounded size, and each
+    partition of the index keeps its best k rows of every query that reads one of its lists, as in
+    knn_join: nothing is paired row by row. A block reads only the parts that one of its queries
+    probes. Query ids are distinct.
     """
-    centroids, n = index.centroids, max(1, min(probes, index.lists))
+    if k < 1:
+        raise ValueError("k is at least 1")
+    n, dim = max(1, min(probes, index.lists)), index.centroids.shape[1]
     rows = index.table.where(where) if where is not None else index.table
+    rows = rows.where(F.col(index.vector).isNotNull())
     matching = np.zeros(index.lists, np.int64)
     if n < index.lists:
         for r in rows.groupBy("list_id").count().collect():
             matching[r["list_id"]] = r["count"]
-
-    def probed(batches):
-        for batch in batches:
-            q = np.array([checked_query(v) for v in batch.column(1).to_pylist()])
-            if not len(q):
-                continue
-            d = ((q[:, None, :] - centroids[None, :, :]) ** 2).sum(2)
-            order = np.argsort(d, axis=1, kind="stable").astype(np.int32)
-            held = np.cumsum(matching[order], axis=1)
-            asked = np.full(len(q), n)
-            while (short := (asked < len(centroids)) & (held[np.arange(len(q)), asked - 1] < k)).any():
-                asked[short] = np.minimum(len(centroids), 2 * asked[short])
-            lists = order[np.arange(len(centroids)) < asked[:, None]]
-            at = pa.array(np.repeat(np.arange(len(q)), asked))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists)], ["qid", "qvec", "list_id"])
-
-    asked = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(query_vector).cast("array<double>").alias("qvec"))
-    asked = asked.mapInArrow(probed, "qid bigint, qvec array<double>, list_id int")
-    rows = rows.select(F.col(index.id).cast("bigint").alias("id"), F.col(index.vector).alias("v"), "list_id")
-    found = asked.join(rows, "list_id").select("qid", "id", l2_squared(F.col("v"), F.col("qvec")).alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id")).cast("bigint")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", "d2")
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * dim), 8 * BLOCK_BYTES // index.lists))
+    parts = []
+    for ids, q in _query_blocks(queries, qid, query_vector, block):
+        if q.shape[1] != dim:
+            raise ValueError(f"different vector dimensions: {dim} and {q.shape[1]}")
+        own, probed = rows, None
+        if n < index.lists:
+            probed = _probed_by(index, q, n, k, matching)
+            if "list_part" in rows.columns:
+                own = rows.where(F.col("list_part").isin(sorted({index.part(x) for x in np.flatnonzero(probed.any(1)).tolist()})))
+        own = own.select(F.col(index.id).cast("bigint").alias("id"), F.col(index.vector).alias("v"), "list_id")
+        parts.append(own.mapInArrow(_partial(k, ids, q, False, probed), "qid bigint, id bigint, d2 double"))
+    return _first_k(index.table.sparkSession, parts, k)
+
+
+def _probed_by(index: IvfIndex, q: np.ndarray, n: int, k: int, matching: np.ndarray) -> np.ndarray:
+    """For each list, a bit for each query that reads it: its n nearest lists by (distance, list),
+    and twice as many while they hold fewer than k matching rows."""
+    out = np.zeros((index.lists, -(-len(q) // 8)), np.uint8)
+    step = 8 * max(1, BLOCK_BYTES // (64 * index.centroids.size))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        d = ((part[:, None, :] - index.centroids[None, :, :]) ** 2).sum(2)
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(matching[order], axis=1)
+        asked = np.full(len(part), n)
+        while (short := (asked < index.lists) & (held[np.arange(len(part)), asked - 1] < k)).any():
+            asked[short] = np.minimum(index.lists, 2 * asked[short])
+        reads = np.zeros((len(part), index.lists), bool)
+        np.put_along_axis(reads, order, np.arange(index.lists) < asked[:, None], axis=1)
+        bits = np.packbits(reads.T, axis=1)
+        out[:, at // 8 : at // 8 + bits.shape[1]] = bits
+    return out
 
 
 def adaptive_probes(k: int, ef_search: int, lists: int, selectivity: float) -> int:

@@ -13,6 +13,8 @@ from nearfield.functions import l2, percentile_index, recall, sq8_distance, sq8_
 from nearfield.operators import (
     audit, build_ivf, calibrate, column_percentile, confirm, half_table, half_top_k, ivf_knn_join, ivf_top_k, knn_join, knn_join_by_class, quantized_top_k, recall_by_class, sq8_statistics,
 )
+from nearfield.operators import batch
+from nearfield.operators.ivf import _sample, with_parts
 from nearfield.operators.quantized import sq8_scale, sq8_table
 from nearfield.plans import Router, Settings, knn
 from nearfield.plans.router import Run, Shape, bucket
@@ -184,6 +186,61 @@ def test_short_ivf_results_widen(spark):
     assert ivf_knn_join(asked, index, 10, 1, where="int_attr = 99").count() == 0
 
 
+def probed_brute(index, base, q, k, n):
+    """Row by row over the n nearest lists, doubled while they hold fewer than k rows; infinite distances, then NaN, then null ids last."""
+    while True:
+        lists = set(index.probes(q, n))
+        rows = [r for r in base if r["list_id"] in lists]
+        if len(rows) >= k or n == index.lists:
+            break
+        n = min(index.lists, 2 * n)
+    far = []
+    for r in rows:
+        d = 0.0
+        for a, b in zip(r["embedding"], q, strict=True):
+            d += (a - b) * (a - b)
+        far.append((math.isnan(d), d if d == d else 0.0, r["vec_id"] is None, r["vec_id"] or 0))
+    return [(i + 1, None if null else id, None if nan else d) for i, (nan, d, null, id) in enumerate(sorted(far)[:k])]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 1.0])
+@pytest.mark.parametrize("stored", [False, True])
+def test_ivf_join_ranks_what_its_lists_hold_and_pairs_no_rows(spark, tmp_path, stored, share, monkeypatch):
+    """Copies, null ids, infinite and NaN components and numbers whose squares are out of range, with blocks of seven queries."""
+    monkeypatch.setattr(batch, "QUERIES", 5)
+    monkeypatch.setattr("nearfield.operators.ivf.BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(3)
+    base = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    base += [(1000 + i, base[i][1]) for i in range(0, 300, 9)] + [(None, base[0][1]), (None, base[7][1])]
+    base += [(2000, [math.inf] + [0.0] * 5), (2001, [math.nan] + [0.0] * 5), (2002, [1e200] * 6), (2003, [-1e200] * 6)]
+    df = spark.createDataFrame(base, "vec_id bigint, embedding array<double>").repartition(5)
+    index = build_ivf(df.where("vec_id < 2000 OR vec_id IS NULL"), lists=12)
+    everything = build_ivf(df, lists=1)
+    for index, n in ((index, max(1, round(12 * share))), (everything, 1)):
+        if stored:
+            at = f"{tmp_path}/{index.lists}"
+            with_parts(index.table, index.lists).write.partitionBy("list_part").parquet(at)
+            index = type(index)(spark.read.parquet(at), index.centroids)
+        rows = index.table.collect()
+        for some, k in ((base[:30] + [(5000, [1e200] * 6)], 4), (base[40:43], 400)):
+            asked = spark.createDataFrame([(i, v) for i, v in some], "qid bigint, qvec array<double>")
+            found = ivf_knn_join(asked, index, k, n)
+            assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+            got = {}
+            for r in found.orderBy("qid", "rank").collect():
+                got.setdefault(r["qid"], []).append((r["rank"], r["id"], None if math.isnan(r["d2"]) else r["d2"]))
+            assert got == {i: probed_brute(index, rows, v, k, n) for i, v in some}
+
+
+def test_ivf_sample_is_of_the_smallest_hashes(spark):
+    df = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    want = [r[0] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id").limit(100).collect()]
+    assert _sample(df, "embedding", "vec_id", 5000, 100)[:, 0].tolist() == want
+    same = df.withColumn("vec_id", F.lit(3).cast("bigint"))
+    assert len(_sample(same, "embedding", "vec_id", 5000, 100)) == 100
+    assert len(_sample(df, "embedding", "vec_id", 5000, 9000)) == 5000
+
+
 def test_calibration_freezes_an_eligible_knob(spark):
     base, asked = items(spark, SF), held_out(spark, 24)
     index = build_ivf(base)
